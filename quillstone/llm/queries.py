@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, html, langid, packing, quality, secrets, simhash, urls
+from quillstone.llm import bpe, html, langid, packing, quality, secrets, simhash, urls, winnow
 from quillstone.session import read_table
 
 #: The end-of-document id of op3.
@@ -96,6 +96,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.compare_with_next(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.as_text(F.col("fingerprint")).alias("fingerprint"),
+        winnow.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_urls": op2_urls,
@@ -105,6 +118,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_bpe": op7_bpe,
     "op8_langid": op8_langid,
+    "op9_winnow": op9_winnow,
 }
 
 _RULES_SQL = ", ".join(
