@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, html, langid, packing, quality, secrets, simhash, urls, winnow
+from quillstone.llm import bpe, html, langid, packing, pii, quality, secrets, simhash, urls, winnow
 from quillstone.session import read_table
 
 #: The end-of-document id of op3.
@@ -109,6 +109,13 @@ def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(pii.joined_spans(*pii.KINDS), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.joined_spans(*pii.KINDS, pii.FOUND).alias("spans"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_urls": op2_urls,
@@ -119,6 +126,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_langid": op8_langid,
     "op9_winnow": op9_winnow,
+    "op10_pii": op10_pii,
 }
 
 _RULES_SQL = ", ".join(
