@@ -57,9 +57,9 @@ def checksum(value: Column) -> Column:
 
 
 def safe_key(value: Column, most: int = 80, digits: int = 8) -> Column:
-    """A key of letters, digits, ``.``, ``_`` and ``-`` with a digest suffix, at most ``most`` long."""
-    clean = F.regexp_replace(value, "[^A-Za-z0-9._-]", "-")
-    return F.concat_ws("-", F.left(clean, F.lit(most - digits - 1)), F.substring(F.sha2(value, 256), 1, digits))
+    """A key of letters, digits, ``.``, ``_`` and ``-``, cut at ``most``, and a digest suffix."""
+    clean = F.left(F.regexp_replace(value, "[^A-Za-z0-9._-]", "-"), F.lit(most))
+    return F.concat_ws("-", clean, F.substring(F.sha2(value, 256), 1, digits))
 
 
 def short_hex(value: Column, digits: int = 12) -> Column:

@@ -1,4 +1,4 @@
 """Named queries over the driver's tables; importing this package fills the registry."""
 
-from quillstone.plans import prefix, routing, sketch  # noqa: F401
+from quillstone.plans import ledger, metrics, prefix, qos, routing, sketch, tiers  # noqa: F401
 from quillstone.plans.registry import ORACLES, QUERIES  # noqa: F401
