@@ -1,4 +1,17 @@
 """Named queries over the driver's tables; importing this package fills the registry."""
 
-from quillstone.plans import functions, ledger, membership, metrics, prefix, qos, routing, security, sketch, tiers  # noqa: F401
+from quillstone.plans import (  # noqa: F401
+    functions,
+    ledger,
+    membership,
+    metrics,
+    prefix,
+    qos,
+    routing,
+    security,
+    sketch,
+    streams,
+    substrate,
+    tiers,
+)
 from quillstone.plans.registry import ORACLES, QUERIES  # noqa: F401
