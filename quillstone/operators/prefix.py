@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions.binding import let
 from quillstone.functions.hashing import identity_hash
 
 CHUNK = 16
@@ -17,9 +18,13 @@ CHUNK = 16
 
 def chunk_hashes(tokens: Column, size: int = CHUNK) -> Column:
     """Hashes of a sequence's whole chunks in order; the rest of the tokens is left out (P5)."""
-    count = F.floor(F.size(tokens) / size).cast("int")
-    one = lambda i: F.md5(F.array_join(F.slice(tokens, i * size + 1, size), " "))
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<string>"))
+
+    def chunks(t: Column) -> Column:
+        count = F.floor(F.size(t) / size).cast("int")
+        one = lambda i: F.md5(F.array_join(F.slice(t, i * size + 1, size), " "))
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, chunks)
 
 
 def namespace(tenant: Column, model: Column) -> Column:
