@@ -111,6 +111,8 @@ def publish(spark: SparkSession, rules: list[tuple[str, bool]]) -> str:
     if len(data) > MOST_BYTES:
         raise ValueError(f"rules of {len(data)} bytes; at most {MOST_BYTES} go to each worker")
     name = f"url-rules-{hashlib.sha256(data).hexdigest()[:24]}.bin"
+    if any(f.endswith(name) for f in spark.sparkContext.listFiles):
+        return name
     path = os.path.join(os.path.realpath(tempfile.mkdtemp()), name)
     with open(path, "wb") as f:
         f.write(data)
