@@ -29,7 +29,7 @@ IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[ -][0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WORD = r"[^ \t-\r]++"
-BYTE = r"^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+BYTE = r"^0*+(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 ROUNDS = 3
 CONFIDENT = 0.8
@@ -111,7 +111,8 @@ def base_spans(text: Column) -> Column:
 
 
 def _shape(word: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(word), "[0-9]", "0"), r"\p{L}+", "a")
+    """Letters and digits by run, and all else as it is."""
+    return F.regexp_replace(F.regexp_replace(F.lower(word), "[0-9]+", "0"), r"\p{L}+", "a")
 
 
 def candidates(text: Column, seeds: Column) -> Column:
@@ -178,5 +179,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def joined_spans(*kinds: str) -> Column:
     """kind:start:end of all spans of these columns in turn, comma-joined."""
-    parts = [F.transform(F.col(k), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"], s["end"])) for k in kinds]
-    return F.array_join(F.concat(*parts), ",")
+
+    def part(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
+
+    return F.array_join(F.concat(*map(part, kinds)), ",")
