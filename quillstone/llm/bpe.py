@@ -1,7 +1,7 @@
 """BPE encoding by batched numpy merge rounds, and decoding by vocabulary lookup.
 
-A text is cut at white space into chunks. No pre-token spans white space, so a chunk's ids do
-not depend on what surrounds it; a batch's chunks that were not seen lately are encoded together
+A text is cut at ASCII white space into chunks. No pre-token spans white space, so a chunk's ids
+do not depend on what surrounds it; a batch's chunks that were not seen lately are encoded together
 and the ids of a text are gathered from a flat array. ``NumpyBpe`` does the encoding of unseen
 chunks: the symbols of all their words lie in one flat array, and each round looks up the ranks
 of all neighbouring pairs by binary search in the sorted pair keys and merges, in every word,
@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +24,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Chunks whose ids a worker keeps; beyond that it starts anew.
-CACHED_CHUNKS = 600_000
+#: Chunks whose ids a worker keeps; beyond that it forgets those seen once, and the rarer half at least.
+CACHED_CHUNKS = 400_000
 
 # Fixed values of the tokenizer's file format: white space, and the printable stand-ins of bytes.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-_split = regex.compile(f"[^{SPACES}]+").findall
-_odd_spaces = re.compile("[\x1c-\x1f]").search
-
-
-def chunks_of(text: str) -> list[str]:
-    """The pieces of a text between white space; str.split also cuts at four control characters."""
-    return _split(text) if _odd_spaces(text) else text.split()
-
-
 def _byte_symbols() -> list[str]:
     rest = iter(range(256, 512))
     return [chr(b) if b in set(PRINTABLE) else chr(next(rest)) for b in range(256)]
@@ -65,7 +57,7 @@ class NumpyBpe:
             self.tokens[i] = token
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(pattern.replace(r"\s", SPACES)).findall
+        self.words_or_ends = regex.compile(pattern.replace(r"\s", SPACES) + r"|\n").findall
         symbols = _byte_symbols()
         self.inner = np.array([vocab.get(s, -1) for s in symbols], np.int64)
         self.final = np.array([vocab.get(s + self.suffix, -1) for s in symbols], np.int64)
@@ -76,124 +68,181 @@ class NumpyBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.out = keys[order], order.astype(np.int64), out[order]
 
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs (the number of merges where there is none), and what they merge to."""
+        keys = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ranks[at], len(self.ranks)), self.out[at]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, and each word's number of ids."""
+        """Ids of all words one after the other, and each word's number of ids; no word is empty."""
         raw = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        count = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.inner[data]
-        ends = np.cumsum(sizes) - 1
+        ends = np.cumsum(count) - 1
         symbols[ends] = self.final[data[ends]]
-        owner = np.repeat(np.arange(len(raw)), sizes)
-        done_symbols, done_owner = [], []
-        none = np.int64(len(self.ranks))
-        while len(symbols):
-            keys = symbols[:-1] * self.base + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = (self.keys[at] == keys) & (owner[:-1] == owner[1:])
-            rank = np.where(hit, self.ranks[at], none)
-            best = np.full(len(raw), none)
-            np.minimum.at(best, owner[:-1], rank)
-            live = best[owner] < none
+        none = len(self.ranks)
+        rank, made = self._ranked(symbols, np.append(symbols[1:], 0))
+        rank[ends] = none
+        word = np.arange(len(raw))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(word):
+            best = np.minimum.reduceat(rank, np.cumsum(count) - count)
+            live = best < none
             if not live.all():  # words without a pair left are finished
-                done_symbols.append(symbols[~live])
-                done_owner.append(owner[~live])
-                keep = live[:-1] & live[1:] & (owner[:-1] == owner[1:])
-                rank, at = np.where(keep, rank, none), at
-                symbols, owner = symbols[live], owner[live]
-                if not len(symbols):
+                keep = np.repeat(live, count)
+                done.append((word[~live], count[~live], symbols[~keep]))
+                word, count, best = word[live], count[live], best[live]
+                symbols, rank, made = symbols[keep], rank[keep], made[keep]
+                if not len(word):
                     break
-                index = np.flatnonzero(live)
-                rank = np.append(rank, none)[index][:-1]
-                at = np.append(at, 0)[index][:-1]
-            merge = (rank < none) & (rank == best[owner[:-1]])
-            # runs such as a-a-a overlap: every second position of a run merges, from the left
+            merge = rank == np.repeat(best, count)
+            # in a run such as a-a-a every second place merges, from the left
             spots = np.flatnonzero(merge)
-            first = np.ones(len(spots), bool)
-            first[1:] = np.diff(spots) > 1
-            start = np.maximum.accumulate(np.where(first, spots, 0))
-            spots = spots[(spots - start) % 2 == 0]
-            symbols[spots] = self.out[at[spots]]
+            follows = np.diff(spots, prepend=-2) == 1
+            if follows.any():
+                start = np.maximum.accumulate(np.where(follows, 0, spots))
+                spots = spots[(spots - start) % 2 == 0]
+            symbols[spots] = made[spots]
+            rank[spots] = rank[spots + 1]  # the end of a word stays one
             keep = np.ones(len(symbols), bool)
             keep[spots + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
-        symbols, owner = np.concatenate([*done_symbols, symbols]), np.concatenate([*done_owner, owner])
-        order = np.argsort(owner, kind="stable")
-        return symbols[order], np.bincount(owner, minlength=len(raw))
+            count -= np.add.reduceat(~keep, np.cumsum(count) - count, dtype=np.int64)
+            moved = spots - np.arange(len(spots))
+            symbols, rank, made = symbols[keep], rank[keep], made[keep]
+            last = np.cumsum(count) - 1
+            inner = np.ones(len(symbols), bool)
+            inner[last] = False
+            again = np.zeros(len(symbols), bool)
+            again[moved] = True
+            again[np.maximum(moved - 1, 0)] = True
+            again &= inner
+            rank[last] = none
+            again = np.flatnonzero(again)
+            rank[again], made[again] = self._ranked(symbols[again], symbols[again + 1])
+        sizes = np.zeros(len(raw), np.int64)
+        for which, each, _ in done:
+            sizes[which] = each
+        start = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int64)
+        for which, each, ids in done:
+            out[positions(start[which], each)] = ids
+        return out, sizes
+
+    def _plain(self, text: str) -> str:
+        return lower(text if text.isascii() else unicodedata.normalize("NFC", text))
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks one after the other, and each chunk's number of ids."""
-        known: dict[str, int] = {}
-        parts: list[int] = []  # index into the words, or -1 - id of a special token
-        counts = []
-        for chunk in chunks:
-            before = len(parts)
-            for piece in self.cut_special(chunk) if self.cut_special and "<|" in chunk else (chunk,):
-                if piece in self.special:
-                    parts.append(-1 - self.special[piece])
-                    continue
-                plain = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
-                parts += [known.setdefault(w, len(known)) for w in self.words(lower(plain))]
-            counts.append(len(parts) - before)
-        flat, sizes = self.encode_words(list(known)) if known else (np.empty(0, np.int64), np.empty(0, np.int64))
+        known: dict[str, int] = {"\n": 0}
+        # one pass over the chunks between line feeds, which are no part of any
+        parts = self.words_or_ends(self._plain("\n".join(chunks) + "\n"))
+        part = np.fromiter([known.setdefault(w, len(known)) for w in parts], np.int64, len(parts))
+        ends = np.flatnonzero(part == 0)
+        flat, sizes = self.encode_words(list(known)[1:]) if len(known) > 1 else (np.empty(0, np.int64), np.empty(0, np.int64))
+        sizes = np.append(0, sizes)
         starts = np.cumsum(sizes) - sizes
-        part = np.array(parts, np.int64)
-        special = part < 0
-        safe = np.where(special, 0, part)
-        length = np.where(special, 1, sizes[safe] if len(sizes) else 1)
-        begin = starts[safe] if len(starts) else np.zeros(len(part), np.int64)
-        where, which = spread(begin, length)
-        ids = flat[np.where(special[which], 0, where)] if len(flat) else np.zeros(len(where), np.int64)
-        ids = np.where(special[which], -1 - part[which], ids)
-        ids = ids[ids >= 0]  # bytes without a symbol of their own; none in a byte-level vocabulary
-        owner = np.repeat(np.arange(len(chunks)), counts)
-        return ids, np.bincount(owner[which], minlength=len(chunks))
-
-
-def spread(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions begin[i] .. begin[i] + length[i] - 1 for all i in turn, and their i."""
-    which = np.repeat(np.arange(len(length)), length)
-    offset = np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length)
-    return begin[which] + offset, which
+        length = sizes[part]
+        ids = flat[positions(starts[part], length)]
+        counts = np.diff(np.append(0, np.cumsum(length)[ends]))
+        odd = [i for i, c in enumerate(chunks) if "<|" in c and self.cut_special and len(self.cut_special(c)) > 1]
+        if odd:  # special tokens are cut out before all else
+            pieces = np.split(ids, np.cumsum(counts)[:-1])
+            for i in odd:
+                got = [np.array([self.special[x]]) if x in self.special else self([x])[0] for x in self.cut_special(chunks[i]) if x]
+                pieces[i] = np.concatenate(got)
+                counts[i] = len(pieces[i])
+            ids = np.concatenate(pieces)
+        return ids, counts
+
+
+def positions(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Positions begin[i] .. begin[i] + length[i] - 1 for all i in turn."""
+    ends = np.cumsum(length)
+    out = np.repeat(begin - ends + length, length)
+    out += np.arange(len(out))
+    return out
+
+
+class Grown:
+    """An array that more is appended to; its room doubles."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.empty(1024, kind), 0
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def add(self, more: np.ndarray) -> None:
+        need = self.n + len(more)
+        if need > len(self.room):
+            room = np.empty(max(need, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.all
+            self.room = room
+        self.room[self.n : need] = more
+        self.n = need
 
 
 class ChunkIds:
     """Ids of texts by way of their chunks' ids; ``encode`` gives those of unseen chunks."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], flag: Callable[[str], bool] | None = None):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], flag: Callable[[pa.Array], pa.Array] | None = None):
         self.encode, self.flag = encode, flag
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.flags = np.empty(0, bool)
-
-    def texts(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts in turn, ids of each text, chunks of each text, and each chunk's ids and flag."""
+        self.flat, self.start, self.size = Grown(np.int32), Grown(np.int64), Grown(np.int64)
+        self.flags, self.hits = Grown(bool), Grown(np.int64)
+
+    def _forget(self) -> None:
+        hits, size = self.hits.all, self.size.all
+        keep = np.flatnonzero(hits > max(1, np.sort(hits)[-(CACHED_CHUNKS // 2)]))
+        names = list(self.index)
+        ids, size, hits = self.flat.all[positions(self.start.all[keep], size[keep])], size[keep], hits[keep] // 2
+        flags = self.flags.all[keep] if self.flag else None
+        self.clear()
+        self.index = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self._add(ids, size, hits, flags)
+
+    def _add(self, ids: np.ndarray, size: np.ndarray, hits: np.ndarray, flags: np.ndarray | None) -> None:
+        self.start.add(self.flat.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.flat.add(ids)
+        self.hits.add(hits)
+        if flags is not None:
+            self.flags.add(flags)
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, ids of each text, chunks of each text, and each chunk's ids and flag.
+
+        Arrow cuts the texts and tells their chunks apart, so that only different ones become
+        Python strings. A null counts as empty.
+        """
         if len(self.index) > CACHED_CHUNKS:
-            self.clear()
-        chunks: list[str] = []
-        counts = []
-        for text in texts:
-            own = chunks_of(text) if text else []
-            chunks += own
-            counts.append(len(own))
-        new = [c for c in dict.fromkeys(chunks) if c not in self.index]
-        if new:
+            self._forget()
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unseen = np.flatnonzero(known < 0)
+        if len(unseen):
+            new = [chunks[i] for i in unseen.tolist()]
             ids, sizes = self.encode(new)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-            if self.flag:
-                self.flags = np.concatenate([self.flags, np.fromiter(map(self.flag, new), bool, len(new))])
-        which = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        sizes = self.size[which]
-        where, _ = spread(self.start[which], sizes)
-        counts = np.array(counts, np.int64)
+            known[unseen] = np.arange(len(self.index), len(self.index) + len(new))
+            self.index.update(zip(new, known[unseen].tolist()))
+            flags = self.flag(coded.dictionary.take(pa.array(unseen))).to_numpy(zero_copy_only=False) if self.flag else None
+            self._add(ids, sizes, np.zeros(len(new), np.int64), flags)
+        indices = coded.indices.to_numpy(zero_copy_only=False)
+        self.hits.all[known] += np.bincount(indices, minlength=len(known))
+        which = known[indices]
+        sizes = self.size.all[which]
+        ids = self.flat.all[positions(self.start.all[which], sizes)]
         bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.flat[where], np.diff(bounds), counts, sizes, self.flags[which] if self.flag else np.zeros(len(which), bool)
+        return ids, np.diff(bounds), counts, sizes, self.flags.all[which] if self.flag else np.zeros(len(which), bool)
 
 
 _loaded: dict[str, tuple[NumpyBpe, ChunkIds]] = {}
@@ -210,16 +259,21 @@ def _load(path: str) -> tuple[NumpyBpe, ChunkIds]:
 STEP_CHARS = 1 << 21
 
 
-def steps(texts: list[str | None], most: int = STEP_CHARS) -> Iterable[list[str | None]]:
-    part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text or "")
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def each_text(texts: pa.Array, rows: int = 128) -> Iterable[str | None]:
+    """The texts of an Arrow array; a few at a time become Python strings."""
+    for at in range(0, len(texts), rows):
+        yield from texts.slice(at, rows).to_pylist()
+
+
+def steps(texts: pa.Array, most: int = STEP_CHARS) -> Iterable[pa.Array]:
+    """Slices of about ``most`` bytes of text each, of one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
 
 
 def encode(text: Column, path: str) -> Column:
@@ -234,7 +288,7 @@ def encode(text: Column, path: str) -> Column:
     def ids(texts: pa.Array) -> pa.Array:
         _, cache = _load(path)
         parts, sizes = [], []
-        for step in steps(texts.to_pylist()):
+        for step in steps(texts):
             got, each, *_ = cache.texts(step)
             parts.append(got)
             sizes.append(each)

@@ -12,11 +12,11 @@ and decided with the next, which bounds memory without any bound on the stream.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -27,6 +27,8 @@ CUT_COST = 4.0
 INNER_COST = 32.0
 WINDOW_COST = 16.0
 BLOCK_CHARS = 1 << 20
+#: Of sentence ends within the same so many ids the last is a cut place.
+GRAIN = 16
 
 
 def best_cuts(places: np.ndarray, costs: np.ndarray, size: int = SIZE, window_cost: float = WINDOW_COST) -> list[int]:
@@ -34,28 +36,34 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, size: int = SIZE, window_co
 
     The stream starts at 0. Neighbouring places must be at most ``size`` apart.
     """
-    at = [0, *places.tolist()]
-    cost = [0.0, *costs.tolist()]
-    n = len(at)
-    best, back = [0.0] * n, [0] * n
-    index = {p: i for i, p in enumerate(at)}
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # best + place, rising
-    for j in range(1, n):
-        p = at[j]
-        while at[queue[0][1]] < p - size:
-            queue.popleft()
-        value, i = queue[0][0] - p + size, queue[0][1]
-        for w in powers:
-            k = index.get(p - w)
-            if k is not None and best[k] < value:
-                value, i = best[k], k
-        value += cost[j] + window_cost
-        best[j], back[j] = value, i
-        key = value + p
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+    where = np.concatenate([[0], places])
+    n = len(where)
+    fits: dict[int, list[int]] = {}  # cuts before a cut by a power of two
+    for w in (1 << k for k in range(size.bit_length())):
+        k = np.searchsorted(where, where - w)
+        for j in np.flatnonzero(where[k] == where - w).tolist():
+            fits.setdefault(j, []).append(int(k[j]))
+    first = np.searchsorted(where, where - size).tolist()  # the first cut within reach
+    steps = zip(range(1, n), first[1:], where[1:].tolist(), (costs + window_cost).tolist())
+    best, back = [0.0], [0]
+    keys, cuts_at, head = [0.0], [0], 0  # a queue of best + place, rising
+    for j, low, p, cost in steps:
+        while cuts_at[head] < low:
+            head += 1
+        value, i = keys[head] - p + size, cuts_at[head]
+        if j in fits:
+            for k in fits[j]:
+                if best[k] < value:
+                    value, i = best[k], k
+        value += cost
+        best.append(value)
+        back.append(i)
+        value += p
+        while len(keys) > head and keys[-1] >= value:
+            keys.pop()
+            cuts_at.pop()
+        keys.append(value)
+        cuts_at.append(j)
     cuts, j = [], n - 1
     while j:
         cuts.append(j - 1)
@@ -64,9 +72,10 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, size: int = SIZE, window_co
 
 
 def _places(sizes: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, size: int, costs: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Cut places after chunks (or ids) and their costs; ``ends`` marks chunks that end a sentence."""
-    stops = np.cumsum(sizes)
-    place, cost = stops[ends], np.full(int(ends.sum()), costs[0])
+    """Cut places after chunks and their costs; ``ends`` marks chunks that end a sentence."""
+    place = np.cumsum(sizes)[ends]
+    place = place[np.diff(place // GRAIN, append=-1) != 0]
+    cost = np.full(len(place), costs[0])
     place, cost = np.concatenate([place, doc_ends]), np.concatenate([cost, np.zeros(len(doc_ends))])
     order = np.lexsort((cost, place))
     place, cost = place[order], cost[order]
@@ -141,8 +150,12 @@ class Packer:
 _encoders: dict[str, ChunkIds] = {}
 
 
-def ends_sentence(chunk: str) -> bool:
-    return chunk.rstrip("\"')]}»”’").endswith((".", "!", "?", "…", "。", "！", "？"))
+#: Sentence ends, alone or before one closing mark.
+SENTENCE_END = "[.!?…。！？][\"')\\]}»”’]?$"
+
+
+def ends_sentence(chunks: pa.Array) -> pa.Array:
+    return pc.match_substring_regex(chunks, SENTENCE_END)
 
 
 def _encoder(path: str) -> ChunkIds:
@@ -182,9 +195,9 @@ def pack(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_c
 
         for batch in batches:
             fields = batch.column(0).type
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys = batch.column(0).to_pylist()
             at = 0
-            for step in steps(texts, BLOCK_CHARS):
+            for step in steps(batch.column(1), BLOCK_CHARS):
                 ids, each, counts, sizes, ends = cache.texts(step)
                 # the end id is a chunk of its own after each document
                 put, where = np.cumsum(each), np.cumsum(counts)
