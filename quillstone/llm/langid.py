@@ -9,6 +9,9 @@ prediction comes from the mean of its windows' log probabilities, weighted by th
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +28,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 DEPTH = 8
 EPOCHS = 10
+LEAST_STEPS = 800
 UNDETERMINED = "und"
 
 
@@ -76,6 +80,7 @@ class ByteCnn:
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         weights = (len(labels) / (len(self.languages) * np.maximum(1, np.bincount(labels, minlength=len(self.languages))))).astype(np.float32)
         step = 0
+        epochs = max(epochs, -(-LEAST_STEPS * 64 // len(labels)))  # small samples are seen more often
         for epoch in range(epochs):
             order = rng.permutation(len(labels))
             for at in range(0, len(order), 64):
@@ -135,17 +140,24 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
     head = F.substring(F.encode(F.col(text_col), "utf-8"), 1, SAMPLE_BYTES).alias("head")
     picked = usable.filter(draw < share).select(head, F.col(lang_col).alias("lang"), draw.alias("draw"))
-    rows = sorted(picked.limit(2 * sample * len(counts)).collect(), key=lambda r: (r.draw, bytes(r.head)))
     languages = sorted(lang for lang, _ in counts)
-    parts = [windows_of(bytes(r.head)) for r in rows]
-    labels = np.repeat([languages.index(r.lang) for r in rows], [len(p) for p in parts])
-    model = ByteCnn(languages)
-    model.fit(np.concatenate(parts), labels)
-    return model
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["draw"], r["head"], r["lang"]) for b in batches for r in b.to_pylist())
+        parts = [windows_of(r[1]) for r in rows]
+        labels = np.repeat([languages.index(r[2]) for r in rows], [len(p) for p in parts])
+        model = ByteCnn(languages)
+        model.fit(np.concatenate(parts), labels)
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
+
+    # the sample is bounded, so one task takes it; a task has one numpy thread, the driver many
+    bounded = picked.limit(2 * sample * len(counts)).repartition(1)
+    return pickle.loads(bounded.mapInArrow(fitted, "model binary").first()["model"])
 
 
-#: Windows that are convolved at once.
+#: Windows that are convolved at once, and texts that are cut into windows at once.
 STEP = 64
+STEP_TEXTS = 256
 
 
 def _predict(model: ByteCnn | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -188,7 +200,11 @@ def predict(text: Column, model: ByteCnn | None) -> Column:
 
     @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predicted(texts: pa.Array) -> pa.Array:
-        lang, score = _predict(model, texts.to_pylist())
+        lang, score = [], []
+        for at in range(0, len(texts), STEP_TEXTS):
+            some = _predict(model, texts.slice(at, STEP_TEXTS).to_pylist())
+            lang += some[0]
+            score += some[1]
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
     return predicted(text)
