@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import langid, packing, quality, secrets, simhash
 from quillstone.llm.queries import END_ID, tokenizer_path
-from quillstone.session import ensure_checkpoint_dir, read_table
+from quillstone.session import ensure_checkpoint_dir, read_table, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,11 +23,13 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or are outliers of their language and source."""
+    small_batches(spark)
     return quality.judge(docs.select(COLUMNS)).filter("kept").select(COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a clear language; a missing ``lang`` is filled with the prediction."""
+    small_batches(spark)
     model = langid.train(docs, "doc_id", "text", "lang")
     seen = docs.select(*COLUMNS, langid.predict(F.col("text"), model).alias("p"))
     clear = (F.col("p.lang") != langid.UNDETERMINED) & (F.col("p.score") >= LEAST_LANGUAGE_SCORE)
@@ -35,21 +37,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies, once."""
+    """Keeps the document of smallest id of each group of near copies, once.
+
+    Rows without an id all stay.
+    """
+    small_batches(spark)
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.select(COLUMNS).join(kept, "doc_id", "left_semi")
-    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(COLUMNS)
+    # of rows that share an id one stays, told by its text's hash; the join's order serves the window
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_h"))
+    narrow = rows.select("doc_id", "_h").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("_h").alias("_h"))
+    one = Window.partitionBy("doc_id", "_h").orderBy("doc_id", "_h")
+    stay = rows.join(narrow, ["doc_id", "_h"]).withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(COLUMNS)
+    return stay.unionByName(docs.filter("doc_id IS NULL").select(COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by a mark; every document stays."""
+    small_batches(spark)
     return docs.withColumn("text", secrets.redact(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences; the result has a row for each piece, with its ids."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path(), END_ID)
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.bpe import each_text
+
 # Names of HTML elements by their part in a page.
 RAW = frozenset("script style noscript template iframe svg math textarea title select object canvas".split())
 SIDE = frozenset("nav header footer aside form button dialog menu head label fieldset option".split())
@@ -224,7 +226,7 @@ def extract_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
 
 @F.arrow_udf(T.StringType())
 def _extracted(pages: pa.Array) -> pa.Array:
-    return pa.array([extract_text(p) for p in pages.to_pylist()], pa.string())
+    return pa.array([extract_text(p) for p in each_text(pages)], pa.string())
 
 
 def main_text(html: Column) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.bpe import each_text
 from quillstone.session import cut_lineage
 
 COVER = 0.75
@@ -96,7 +97,7 @@ def text_statistics(text: str | None) -> tuple:
 
 @F.arrow_udf(T.StructType([T.StructField(n, t) for n, t in FIELDS]))
 def _statistics(texts: pa.Array) -> pa.Array:
-    columns = zip(*map(text_statistics, texts.to_pylist())) if len(texts) else [[]] * len(FIELDS)
+    columns = zip(*map(text_statistics, each_text(texts))) if len(texts) else [[]] * len(FIELDS)
     kinds = [pa.int64() if isinstance(t, T.LongType) else pa.float64() for _, t in FIELDS]
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [n for n, _ in FIELDS])
 

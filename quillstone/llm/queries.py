@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe, html, langid, packing, pii, quality, secrets, simhash, urls, winnow
-from quillstone.session import read_table
+from quillstone.session import read_table, small_batches
 
 #: The end-of-document id of op3.
 END_ID = 1
@@ -19,27 +19,32 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def whole_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return read_table(spark, sf_dir, name)
+
+
 #: The rules of op2, and hosts blocked where none of them fits.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 BLOCKED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com"]
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = whole_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     judged = quality.judge(docs, write=True)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *[F.col(f"s.{c}").alias(c) for c in counts], "base_failed", "kept", "distance")
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages")
+    pages = whole_table(spark, sf_dir, "pages")
     found = pages.select("page_id", urls.judge(spark, F.col("url"), URL_RULES, BLOCKED_HOSTS).alias("j"))
     return found.select("page_id", "j.host", "j.path", "j.rule", "j.verdict")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html.main_text(F.col("html")).alias("text")
-    return read_table(spark, sf_dir, "pages").select("page_id", "url", text).withColumn("n_chars", F.length("text").cast("long"))
+    return whole_table(spark, sf_dir, "pages").select("page_id", "url", text).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -48,7 +53,7 @@ def joined_spans(spans: Column) -> Column:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read_table(spark, sf_dir, "documents").select("doc_id", secrets.find_secrets(F.col("text")).alias("s"))
+    found = whole_table(spark, sf_dir, "documents").select("doc_id", secrets.find_secrets(F.col("text")).alias("s"))
     kind = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("s", lambda x: x["kind"] != "literal")
     return found.select(
@@ -66,7 +71,7 @@ def held_out_fold(doc_id: Column) -> Column:
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = whole_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = held_out_fold(F.col("doc_id"))
     model = langid.train(docs.filter(~fold), "doc_id", "text", "lang")
     found = docs.select("doc_id", fold.alias("held_out"), langid.predict(F.col("text"), model).alias("p"))
@@ -74,19 +79,19 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+    pieces = packing.pack(whole_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     crc = F.crc32("ids").alias("ids_crc32")
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(whole_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    ids = read_table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
+    ids = whole_table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
     both = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), path).alias("decoded"))
     return both.select(
         "doc_id",
@@ -97,7 +102,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = winnow.compare_with_next(read_table(spark, sf_dir, "documents"))
+    found = winnow.compare_with_next(whole_table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
         "n_chars",
@@ -110,7 +115,7 @@ def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+    found = pii.find_personal_data(whole_table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     base = F.sha2(pii.joined_spans(*pii.KINDS), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, pii.joined_spans(*pii.KINDS, pii.FOUND).alias("spans"))

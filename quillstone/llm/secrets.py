@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.bpe import each_text
+
 KINDS = ("assign", "access", "hex", "literal")
 
 # Fixed patterns of the base.
@@ -89,12 +91,12 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 @F.arrow_udf(SPANS)
 def _spans(texts: pa.Array) -> pa.Array:
-    return pa.array([[dict(zip(("kind", "start", "end", "score"), x)) for x in scan(t)] for t in texts.to_pylist()], _ARROW)
+    return pa.array([[dict(zip(("kind", "start", "end", "score"), x)) for x in scan(t)] for t in each_text(texts)], _ARROW)
 
 
 @F.arrow_udf(T.StringType())
 def _redacted(texts: pa.Array) -> pa.Array:
-    return pa.array([redact_text(t) for t in texts.to_pylist()], pa.string())
+    return pa.array([redact_text(t) for t in each_text(texts)], pa.string())
 
 
 MARK = "[SECRET]"

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.bpe import each_text
 from quillstone.session import cut_lineage
 
 SEED = 42
@@ -53,7 +54,7 @@ def fingerprint_of(text: bytes, shingle: int = 3) -> int:
 
 @F.arrow_udf(T.LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
-    out = [fingerprint_of(x or b"") for x in texts.cast(pa.binary()).to_pylist()]
+    out = [fingerprint_of(x or b"") for x in each_text(texts.cast(pa.binary()))]
     return pa.array(np.array(out, np.uint64).view(np.int64))
 
 
