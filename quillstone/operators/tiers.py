@@ -194,3 +194,34 @@ def replay_2q(ops: DataFrame, node: str, order: list[str], capacity: int, ghosts
     kind = ops.schema[node].dataType.simpleString()
     schema = f"{node} {kind}, seq bigint, op string, key string, where string, victims array<string>"
     return ordered_fold(ops.select(node, "seq", "op", "key", "bytes", "kind"), [node], order, lambda: TwoQueues(capacity, ghosts=ghosts), step, schema)
+
+
+def deferred_evictions(ops: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, seq, outcome) of evictions (T2): pruned, deferred, or dropped.
+
+    ``ops`` has key, seq and op: insert, acquire, release or evict. An eviction prunes a leaf
+    that nobody but its owner holds, and is deferred else; a deferred one prunes at the release
+    that leaves the owner alone, and is dropped if the leaf is replaced before.
+    """
+
+    def step(s: dict, r: dict) -> Iterator[tuple]:
+        outcome = None
+        if r["op"] == "insert":
+            outcome = "dropped" if s["waiting"] else None
+            s.update(there=True, holds=1, waiting=False)
+        elif s["there"] and r["op"] == "acquire":
+            s["holds"] += 1
+        elif s["there"] and r["op"] == "release":
+            s["holds"] = max(1, s["holds"] - 1)
+            if s["waiting"] and s["holds"] == 1:
+                outcome = "pruned"
+                s.update(there=False, waiting=False)
+        elif s["there"] and r["op"] == "evict":
+            outcome = "pruned" if s["holds"] == 1 else "deferred"
+            s.update(there=s["holds"] > 1, waiting=s["holds"] > 1)
+        if outcome:
+            yield r[key], r["seq"], outcome
+
+    kind = ops.schema[key].dataType.simpleString()
+    start = lambda: {"there": False, "holds": 1, "waiting": False}
+    return ordered_fold(ops.select(key, "seq", "op"), [key], order, start, step, f"{key} {kind}, seq bigint, outcome string")

@@ -1,6 +1,7 @@
 """Named queries over the driver's tables; importing this package fills the registry."""
 
 from quillstone.plans import (  # noqa: F401
+    extension,
     functions,
     ledger,
     membership,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import hashing, identity, text
 from quillstone.operators import codec
-from quillstone.plans.registry import query
+from quillstone.plans.registry import fold_sql, query
 from quillstone.session import read_table
 
 
@@ -36,7 +36,18 @@ def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).select("c_custkey", hashing.short_digest(F.col("c_name")).alias("digest"))
 
 
-@query("f4_crc32")
+_BYTE = "(CASE WHEN s.i % 8 = 0 THEN xor(f.h, s.octet) ELSE f.h END)"
+CRC_SQL = fold_sql(
+    "SELECT c_custkey, i, ord(c_name[i // 8 + 1])::BIGINT AS octet, 8 * length(c_name) - 1 AS last FROM customer, unnest(range(8 * length(c_name))) r(i)",
+    "c_custkey",
+    "i",
+    {"h": ("4294967295::BIGINT", f"CASE WHEN {_BYTE} & 1 = 1 THEN xor({_BYTE} >> 1, 3988292384) ELSE {_BYTE} >> 1 END")},
+    "c_custkey, xor(h, 4294967295) AS crc",
+    "s.i = s.last",
+)
+
+
+@query("f4_crc32", CRC_SQL)
 def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).select("c_custkey", hashing.checksum(F.col("c_name")).alias("crc"))
 
@@ -235,9 +246,22 @@ def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.pack_tensor(codec.encode_open(_tensor(spark, sf_dir))).select("g", F.md5("blob").alias("blob"))
 
 
-@query("w10_closed_loop")
+_STEP = "greatest(-127, least(127, CASE WHEN s.scale <> 0 THEN sign((s.v - f.v) / s.scale) * floor(abs((s.v - f.v) / s.scale) + 0.5) ELSE 0 END))::INT"
+
+
+@query(
+    "w10_closed_loop",
+    fold_sql(
+        f"WITH {ROWS_SQL}, {SCALE_SQL} SELECT g, t, e, g * 1000 + e AS k, r.v AS v, scale FROM r JOIN sc USING (g, e)",
+        "k",
+        "t",
+        {"v": ("0.0::DOUBLE", f"f.v + {_STEP} * s.scale")},
+        "g, t, e, f.v AS v",
+    ),
+)
 def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec.decode(codec.encode_closed(_tensor(spark, sf_dir)))
+    decoded = codec.decode(codec.encode_closed(_tensor(spark, sf_dir)))
+    return decoded.select("g", "t", F.col("e").cast("bigint"), "v")
 
 
 @query("a23_codec_error")

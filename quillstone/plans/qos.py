@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import qos as op
-from quillstone.plans.registry import query
+from quillstone.plans.registry import fold_sql, query
 from quillstone.session import read_table
 
 
@@ -93,7 +93,31 @@ def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("t8_quota_admission")
+_CAP, _QPS, _BPS = (f"(floor(s.{c} * CASE WHEN s.inflated THEN 1.5 ELSE 1 END))::BIGINT" for c in ("capacity", "qps", "bps"))
+_ROLL = "(f.start IS NULL OR s.ts_ms - f.start >= 21600000)"
+_REQS, _BAND = (f"(CASE WHEN {_ROLL} THEN 0 ELSE f.{c} END)" for c in ("requests", "bandwidth"))
+_FULL = f"(CASE WHEN {_CAP} > 0 THEN f.used + s.bytes > {_CAP} ELSE s.bytes > 0 END)"
+_RESULT = f"""(CASE WHEN s.released > 0 THEN 'released' WHEN s.capacity IS NULL THEN 'unknown_tenant' WHEN {_FULL} THEN 'capacity'
+    WHEN {_QPS} > 0 AND {_REQS} + 1 > {_QPS} THEN 'qps' WHEN {_BPS} > 0 AND {_BAND} + s.bandwidth > {_BPS} THEN 'bandwidth' ELSE 'ok' END)"""
+_ASKED = f"s.released = 0 AND s.capacity IS NOT NULL AND NOT {_FULL}"
+ADMIT_SQL = fold_sql(
+    """SELECT user_id AS tenant, event_id AS seq, epoch_ms(ts) AS ts_ms, event_id % 64 AS bytes, event_id % 900 AS bandwidth,
+    CASE WHEN event_type = 'purchase' THEN event_id % 64 + 1 ELSE 0 END AS released, c_custkey % 9 * 200 AS capacity, c_custkey % 5 AS qps, c_custkey % 4 * 1000 AS bps,
+    c_custkey % 2 = 1 AS inflated FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 9) ON c_custkey = user_id""",
+    "tenant",
+    "seq",
+    {
+        "used": ("0::BIGINT", f"CASE WHEN s.released > 0 THEN f.used - least(s.released, f.used) WHEN {_RESULT} = 'ok' AND {_CAP} > 0 THEN f.used + s.bytes ELSE f.used END"),
+        "start": ("NULL::BIGINT", f"CASE WHEN {_ASKED} AND {_ROLL} THEN s.ts_ms ELSE f.start END"),
+        "requests": ("0::BIGINT", f"CASE WHEN {_ASKED} THEN {_REQS} + CASE WHEN {_RESULT} = 'ok' THEN 1 ELSE 0 END ELSE f.requests END"),
+        "bandwidth": ("0::BIGINT", f"CASE WHEN {_ASKED} THEN {_BAND} + CASE WHEN {_RESULT} = 'ok' THEN s.bandwidth ELSE 0 END ELSE f.bandwidth END"),
+        "result": ("''", _RESULT),
+    },
+    "tenant, seq, result, used",
+)
+
+
+@query("t8_quota_admission", ADMIT_SQL)
 def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.admit(_requests(spark, sf_dir), _limits(spark, sf_dir), 6 * 3_600_000)
 
@@ -109,13 +133,23 @@ def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.dispatch_order(ops, "node", 1000)
 
 
-@query("t9_bounded_ring")
+def _ring_sql(source: str, key: str, capacity: int) -> str:
+    left = "greatest(0, f.depth - s.drained)"
+    state = {
+        "depth": ("0::BIGINT", f"{left} + CASE WHEN {left} < {capacity} THEN 1 ELSE 0 END"),
+        "dropped": ("0::BIGINT", f"f.dropped + CASE WHEN {left} < {capacity} THEN 0 ELSE 1 END"),
+        "kept": ("false", f"{left} < {capacity}"),
+    }
+    return fold_sql(source, key, "seq", state, f"{key}, seq, kept, dropped")
+
+
+@query("t9_bounded_ring", _ring_sql("SELECT user_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS drained FROM events", "user_id", 8))
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 3 == 0).cast("int").alias("drained"))
     return op.bounded_ring(rows, "user_id", ["seq"], 8)
 
 
-@query("t14_audit_ring")
+@query("t14_audit_ring", _ring_sql("SELECT user_id % 4 AS node, event_id AS seq, CASE WHEN event_id % 200 = 0 THEN 150 ELSE 0 END AS drained FROM events", "node", 100))
 def t14(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("node"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 200 == 0, 150).otherwise(0).alias("drained"))
     return op.bounded_ring(rows, "node", ["seq"], 100)

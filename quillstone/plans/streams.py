@@ -51,18 +51,28 @@ def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("event_id", "stream", "key", "epoch", "payload")
 
 
-@query("t12_bloom_stream")
+@query(
+    "t12_bloom_stream",
+    f"""SELECT DISTINCT time_bucket(INTERVAL '30 seconds', ts) AS start, {sketch._bits('user_id::VARCHAR')} AS bit FROM events, {sketch.IS}
+    WHERE time_bucket(INTERVAL '30 seconds', ts) + INTERVAL '30 seconds' <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""",
+)
 def t12_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = feeds.published_sketches(_stream(spark, sf_dir), "ts", F.col("user_id").cast("string"), sketch.M, sketch.K)
     return feeds.run_to_end(found)
 
 
-@query("w9_debounce_stream")
+@query(
+    "w9_debounce_stream",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS changes FROM s GROUP BY user_id, n
+    HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""",
+)
 def w9_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.run_to_end(feeds.debounced(_stream(spark, sf_dir), ["user_id"], "ts", "2 hours"))
 
 
-@query("t8_admission_stream")
+@query("t8_admission_stream", qos.ADMIT_SQL)
 def t8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir)
     release = F.when(F.col("event_type") == "purchase", F.col("event_id") % 64 + 1).otherwise(0)
