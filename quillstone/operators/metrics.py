@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +34,37 @@ def histogram(samples: DataFrame, labels: list[str], value_col: str, bounds: lis
     return rows.select(*labels, F.explode("b").alias("b"), "total", "n").select(*labels, "b.le", "b.count", "total", "n")
 
 
+#: Value ranges that latency_summary counts by first.
+RANGES = 4096
+
+
 def latency_summary(samples: DataFrame, labels: list[str], value_col: str, probabilities: dict[str, float] = SUMMARY) -> DataFrame:
     """(labels, n, min, max, total, quantiles): order statistics at index min(n-1, floor(p*n)).
 
-    Equal values are counted before anything is ordered, so a label set's window holds its
-    different values only.
+    A label set's values are first counted by equal ranges between its least and greatest; only
+    the ranges that hold a wanted index are then ordered, by their different values. So no task
+    orders all values of a label set, however many it has. Nulls are left out.
     """
-    counts = samples.groupBy(*labels, value_col).agg(F.count("*").alias("_c"))
-    every = Window.partitionBy(*labels)
-    upto = every.orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("_n", F.sum("_c").over(every)).withColumn("_upto", F.sum("_c").over(upto))
+    value = F.col(value_col)
+    rows = samples.select(*labels, value_col).filter(value.isNotNull())
+    whole = rows.groupBy(*labels).agg(F.count("*").alias("n"), F.min(value_col).alias("min"), F.max(value_col).alias("max"), F.sum(value_col).alias("total"))
+    width = F.greatest((F.col("max") - F.col("min")).cast("double"), F.lit(1e-300))
+    placed = _with_labels(rows, whole, labels).withColumn("_r", F.floor((value - F.col("min")) / width * F.lit(RANGES - 1)).cast("int"))
+    ranges = placed.groupBy(*labels, "_r").agg(F.count("*").alias("_c"), F.max("n").alias("_n"))
+    upto = Window.partitionBy(*labels).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_before", F.col("_upto") - F.col("_c"))
     index = lambda p: F.least(F.col("_n") - 1, F.floor(F.lit(p) * F.col("_n")))
-    quantiles = [F.min(F.when(F.col("_upto") > index(p), F.col(value_col))).alias(q) for q, p in probabilities.items()]
-    return placed.groupBy(*labels).agg(
-        F.max("_n").alias("n"), F.min(value_col).alias("min"), F.max(value_col).alias("max"), F.sum(F.col(value_col) * F.col("_c")).alias("total"), *quantiles
-    )
+    inside = lambda p: (F.col("_before") <= index(p)) & (index(p) < F.col("_upto"))
+    wanted = ranges.filter(reduce(lambda x, y: x | y, [inside(p) for p in probabilities.values()])).drop("_c", "_upto")
+    few = placed.join(wanted, [*labels, "_r"]).groupBy(*labels, "_r", value_col).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"), F.max("_before").alias("_before"))
+    within = Window.partitionBy(*labels, "_r").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+    few = few.withColumn("_at", F.col("_before") + F.sum("_c").over(within)).withColumn("_low", F.col("_at") - F.col("_c"))
+    quantiles = [F.min(F.when((F.col("_low") <= index(p)) & (index(p) < F.col("_at")), value)).alias(q) for q, p in probabilities.items()]
+    return whole.join(few.groupBy(*labels).agg(*quantiles), labels)
+
+
+def _with_labels(rows: DataFrame, whole: DataFrame, labels: list[str]) -> DataFrame:
+    return rows.join(whole.select(*labels, "n", "min", "max"), labels)
 
 
 def jain_fairness(amounts: DataFrame, labels: list[str], value_col: str) -> DataFrame:
