@@ -36,8 +36,9 @@ SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus"
     " discussion footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion"
     " related reply replies respond responses share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar"
-    " widget widgets login paywall pagination pager recommended alert".split()
+    " widget widgets login paywall pagination pager recommended alert disclaimer copyright topbar adsbygoogle adslot adbox adunit".split()
 )
+SIDE_NAMES = frozenset("header footer site-header site-footer page-header page-footer main-header main-footer top-header bottom-footer".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -61,7 +62,7 @@ def is_side(name: str, attributes: str) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "role" and value in ROLES or key == "hidden":
             return True
-        if key in ("class", "id") and any(p in SIDE_WORDS for w in value.split() for p in PIECES.findall(w)):
+        if key in ("class", "id") and any(w in SIDE_NAMES or p in SIDE_WORDS for w in value.split() for p in PIECES.findall(w)):
             return True
     return False
 
@@ -108,6 +109,9 @@ def tokens(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[int, int]
                         break
             out.append(("side" if within else f"/{kind}", "", within))
             continue
+        if name in VOID:  # a rule across the text holds nothing
+            out.append((kind, "", side > 0))
+            continue
         own = is_side(name, m["attributes"])
         if name in MAIN and not own and not mains:
             mains += 1

@@ -71,6 +71,8 @@ TEXT = "One two three four five six seven eight nine.\n\nTen eleven twelve & thi
         f"<body><div class='cookie-notice'>We use cookies and more cookies</div><ARTICLE>{BODY}<!-- <p>no</p> --></ARTICLE>",
         f"<div class='ad'>never closed<article>{BODY}</article>",
         f"<article><header>{BODY}</header></article><aside>related words</aside>",
+        f"<div class='wrap'><div class='header'>The site of all words</div><div class='text'>{BODY.replace('</p><p>', '</p><hr><p>')}</div><div id='footer'>All rights</div></div>",
+        f"<table><tr><td class='nav'><a>x</a></td><td>{BODY}</td></tr></table><ul class='comment-list'><li>Nice words, I liked all of them.</li></ul>",
     ],
 )
 def test_templates(page):
