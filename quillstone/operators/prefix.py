@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.binding import let
+from quillstone.functions.binding import let, once
 from quillstone.functions.hashing import identity_hash
 
 CHUNK = 16
@@ -51,7 +51,7 @@ def path_hash(chunks: Column) -> Column:
 
 def paths(rows: DataFrame, id_col: str, ns: Column, tokens: Column) -> DataFrame:
     """(id, ns, depth, hash) of each row's whole path; depth 0 and a null hash without chunks."""
-    chunks = rows.select(F.col(id_col), ns.alias("ns"), chunk_hashes(tokens).alias("chunks"))
+    chunks = rows.select(F.col(id_col), ns.alias("ns"), once(chunk_hashes(tokens)).alias("chunks"))
     return chunks.select(id_col, "ns", F.size("chunks").alias("depth"), path_hash(F.col("chunks")).alias("hash"))
 
 
@@ -71,7 +71,7 @@ def longest_prefix_match(queries: DataFrame, id_col: str, ns: Column, tokens: Co
     Only whole sealed paths match, so a query shorter than a sealed path misses it. Misses have
     0 tokens and a null owner.
     """
-    parts = queries.select(F.col(id_col), ns.alias("ns"), prefix_hashes(chunk_hashes(tokens)).alias("p"))
+    parts = queries.select(F.col(id_col), ns.alias("ns"), once(prefix_hashes(chunk_hashes(tokens))).alias("p"))
     probes = parts.select(id_col, "ns", F.explode("p").alias("p")).select(id_col, "ns", "p.depth", "p.hash")
     hits = probes.join(index, ["ns", "depth", "hash"]).groupBy(id_col).agg(F.max("depth").alias("depth"), F.max_by("owner", "depth").alias("owner"))
     found = queries.select(id_col).join(hits, id_col, "left")
@@ -113,7 +113,7 @@ def remove(index: DataFrame, gone: DataFrame) -> DataFrame:
 
 def index_stats(rows: DataFrame, ns: Column, tokens: Column) -> DataFrame:
     """One row: leaves and inner or leaf nodes of the index over these sequences, and its depth."""
-    parts = rows.select(ns.alias("ns"), prefix_hashes(chunk_hashes(tokens)).alias("p"))
+    parts = rows.select(ns.alias("ns"), once(prefix_hashes(chunk_hashes(tokens))).alias("p"))
     nodes = parts.select("ns", F.explode("p").alias("p"), F.size("p").alias("n"))
     each = nodes.groupBy("ns", "p.depth", "p.hash").agg(F.max((F.col("p.depth") == F.col("n")).cast("int")).alias("leaf"))
     return each.agg(F.count("*").alias("nodes"), F.sum("leaf").alias("leaves"), F.max("depth").alias("depth"))
