@@ -45,15 +45,15 @@ class StateFrame:
             return self.spark.createDataFrame([], COLUMNS)
 
     def sealed(self) -> DataFrame:
-        """The last write of each path."""
-        last = F.max_by(F.struct("owner", "n_tokens", "payload"), "seq").alias("v")
-        return self.table().groupBy("ns", "depth", "hash").agg(last).select("ns", "depth", "hash", "v.*")
+        """(ns, depth, hash, owner): the last write of each path, its owner with n_tokens and seq; no payloads."""
+        last = F.max_by(F.struct("owner", "n_tokens", "seq"), "seq").alias("owner")
+        return self.table().groupBy("ns", "depth", "hash").agg(last)
 
     def store(self, writes: DataFrame, seq: int = 0) -> DataFrame:
         """Appends what can be sealed; returns (id, status), INVAL where there is no whole chunk.
 
         ``seq`` orders the calls: a later one replaces a path that an earlier one wrote. Within
-        a call the highest id comes last.
+        a call the highest id, below 2**40 and given once, comes last.
         """
         ns = prefix.namespace(F.col("tenant"), F.col("model"))
         made = prefix.seal(writes, "id", ns, F.col("tokens")).withColumnRenamed("depth", "d")
@@ -62,22 +62,26 @@ class StateFrame:
         rows.select("ns", F.col("d").cast("int").alias("depth"), "hash", F.col("id").cast("bigint").alias("owner"), "n_tokens", "payload", order.alias("seq")).write.mode("append").parquet(self.path)
         return made.select("id", "status")
 
+    def _match(self, queries: DataFrame) -> DataFrame:
+        ns = prefix.namespace(F.col("tenant"), F.col("model"))
+        return prefix.longest_prefix_match(queries, "id", ns, F.col("tokens"), self.sealed())
+
     def lookup(self, queries: DataFrame) -> DataFrame:
         """(id, matched_tokens, owner) of each query."""
-        ns = prefix.namespace(F.col("tenant"), F.col("model"))
-        return prefix.longest_prefix_match(queries, "id", ns, F.col("tokens"), self.sealed().select("ns", "depth", "hash", "owner"))
+        return self._match(queries).select("id", "matched_tokens", F.col("owner.owner").alias("owner"))
 
     def retrieve(self, queries: DataFrame) -> DataFrame:
         """lookup() with ``payload``: the owner's bytes of the matched tokens, null on a miss.
 
-        The rest of the owner's payload, of tokens beyond whole chunks, is cut off.
+        The rest of the owner's payload, of tokens beyond whole chunks, is cut off. Payloads are
+        joined to the matches at the end, by the number of their write.
         """
-        found = self.lookup(queries)
-        held = self.sealed().select("owner", "n_tokens", "payload", (F.col("depth") * prefix.CHUNK).alias("sealed_tokens"))
-        both = found.join(held, (found["owner"] == held["owner"]) & (found["matched_tokens"] == held["sealed_tokens"]), "left")
+        found = self._match(queries).select("id", "matched_tokens", F.col("owner.owner").alias("owner"), F.col("owner.seq").alias("seq"))
+        held = self.table().select("seq", "n_tokens", "payload")
+        both = found.join(held, "seq", "left")
         each = F.floor(F.length("payload") / F.col("n_tokens")).cast("int")
         cut = F.substring("payload", F.lit(1), (F.col("matched_tokens") * each).cast("int"))
-        return both.select(found["id"], "matched_tokens", found["owner"], cut.alias("payload"))
+        return both.select("id", "matched_tokens", "owner", cut.alias("payload"))
 
     def stored_bytes(self, queries: DataFrame) -> DataFrame:
         """(id, bytes) that retrieve() would give."""
