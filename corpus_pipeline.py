@@ -1,7 +1,9 @@
 """Training-corpus pipeline over ``documents``: five stages, each by one operator of the llm subpackage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-reread as the next one's ``docs``. All but the last return the columns of ``documents``.
+reread as the next one's ``docs``. All but the last return the columns of ``documents``; other
+columns of ``docs`` are left out. A null text counts as empty and fails the quality rules; null
+languages and sources are groups of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
