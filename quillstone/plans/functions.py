@@ -249,25 +249,30 @@ def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEP = "greatest(-127, least(127, CASE WHEN s.scale <> 0 THEN sign((s.v - f.v) / s.scale) * floor(abs((s.v - f.v) / s.scale) + 0.5) ELSE 0 END))::INT"
 
 
-@query(
-    "w10_closed_loop",
-    fold_sql(
-        f"WITH {ROWS_SQL}, {SCALE_SQL} SELECT g, t, e, g * 1000 + e AS k, r.v AS v, scale FROM r JOIN sc USING (g, e)",
-        "k",
-        "t",
-        {"v": ("0.0::DOUBLE", f"f.v + {_STEP} * s.scale")},
-        "g, t, e, f.v AS v",
-    ),
+CLOSED_SQL = fold_sql(
+    f"WITH {ROWS_SQL}, {SCALE_SQL} SELECT g, t, e, g * 1000 + e AS k, r.v AS v, scale FROM r JOIN sc USING (g, e)",
+    "k",
+    "t",
+    {"v": ("0.0::DOUBLE", f"f.v + {_STEP} * s.scale")},
+    "g, t, e, f.v AS v",
 )
+
+
+@query("w10_closed_loop", CLOSED_SQL)
 def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = codec.decode(codec.encode_closed(_tensor(spark, sf_dir)))
     return decoded.select("g", "t", F.col("e").cast("bigint"), "v")
 
 
-@query("a23_codec_error")
+@query(
+    "a23_codec_error",
+    f"""WITH {ROWS_SQL} SELECT g, max(abs(r.v - w.v)) AS max_error, max(r.v) - min(r.v) AS range, round(sqrt(sum((r.v - w.v) * (r.v - w.v)) / sum(r.v * r.v)), 6) AS relative_rms
+    FROM r JOIN ({CLOSED_SQL}) w USING (g, t, e) GROUP BY g""",
+)
 def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tensor(spark, sf_dir)
-    return codec.codec_error(rows, codec.decode(codec.encode_closed(rows)))
+    error = codec.codec_error(rows, codec.decode(codec.encode_closed(rows)))
+    return error.withColumn("relative_rms", F.round("relative_rms", 6))
 
 
 @query("s21_compression", "SELECT page_id, strlen(html) AS size, md5(html) AS digest FROM pages")
