@@ -8,6 +8,7 @@ neither a key with many rows nor a partition with many keys has to fit memory.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -18,6 +19,20 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 BATCH = 4096
 
 
+@dataclass(frozen=True)
+class Fold:
+    """What a fold does, for batches (ordered_fold) and streams (streaming.feeds.folded) alike."""
+
+    keys: list[str]
+    order: list[str]
+    start: Callable[[], Any]
+    step: Callable[[Any, dict], Iterable[tuple]]
+    schema: str
+
+    def over(self, rows: DataFrame) -> DataFrame:
+        return ordered_fold(rows, self.keys, self.order, self.start, self.step, self.schema)
+
+
 def ordered_fold(
     rows: DataFrame,
     keys: list[str],

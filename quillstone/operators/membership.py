@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.fold import ordered_fold
+from quillstone.operators.fold import Fold
 
 # The legal transitions; each node starts as joining.
 LEGAL = {
@@ -25,8 +25,8 @@ def is_legal(before: Column, after: Column) -> Column:
     return F.concat_ws(">", before, after).isin(pairs)
 
 
-def membership(events: DataFrame, node: str, seq: str, target: str) -> DataFrame:
-    """(node, seq, state, result) after each requested transition: ok, same or illegal."""
+def membership_fold(node: str, kind: str, seq: str, target: str) -> Fold:
+    """The state machine as a fold over rows of node, seq and target."""
 
     def step(now: dict, r: dict) -> Iterator[tuple]:
         if r[target] == now["state"]:
@@ -37,9 +37,13 @@ def membership(events: DataFrame, node: str, seq: str, target: str) -> DataFrame
             result = "illegal"
         yield r[node], r[seq], now["state"], result
 
+    return Fold([node], [seq], lambda: {"state": "joining"}, step, f"{node} {kind}, {seq} bigint, state string, result string")
+
+
+def membership(events: DataFrame, node: str, seq: str, target: str) -> DataFrame:
+    """(node, seq, state, result) after each requested transition: ok, same or illegal."""
     kind = events.schema[node].dataType.simpleString()
-    rows = events.select(node, seq, target)
-    return ordered_fold(rows, [node], [seq], lambda: {"state": "joining"}, step, f"{node} {kind}, {seq} bigint, state string, result string")
+    return membership_fold(node, kind, seq, target).over(events.select(node, seq, target))
 
 
 def in_warmup(state: Column, joined_at: Column, now: Column, seconds: int) -> Column:

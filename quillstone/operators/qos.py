@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.fold import ordered_fold
+from quillstone.operators.fold import Fold, ordered_fold
 
 INFLATION = 1.5
 
@@ -56,14 +56,8 @@ class Quota:
 ADMIT_FIELDS = ["tenant", "seq", "ts_ms", "bytes", "requests", "bandwidth", "released", "capacity", "qps", "bps", "inflated"]
 
 
-def admit(requests: DataFrame, limits: DataFrame, window_ms: int = 1000) -> DataFrame:
-    """(tenant, seq, result, used) of each request in order.
-
-    ``requests`` has tenant, seq, ts_ms, bytes, requests, bandwidth and released, where released
-    over 0 gives back that many bytes instead of asking. ``limits`` has tenant, capacity, qps,
-    bps and inflated. Capacity 0 denies any bytes; qps and bps 0 are no limits; denials don't
-    count, and a later denial gives the capacity back.
-    """
+def admit_fold(kind: str, window_ms: int = 1000) -> Fold:
+    """Quota admission as a fold over rows of ADMIT_FIELDS."""
 
     def step(quota: Quota, r: dict) -> Iterator[tuple]:
         if r["released"]:
@@ -73,9 +67,19 @@ def admit(requests: DataFrame, limits: DataFrame, window_ms: int = 1000) -> Data
             result = quota.admit(r, window_ms)
         yield r["tenant"], r["seq"], result, quota.used
 
+    return Fold(["tenant"], ["seq"], Quota, step, f"tenant {kind}, seq bigint, result string, used bigint")
+
+
+def admit(requests: DataFrame, limits: DataFrame, window_ms: int = 1000) -> DataFrame:
+    """(tenant, seq, result, used) of each request in order.
+
+    ``requests`` has tenant, seq, ts_ms, bytes, requests, bandwidth and released, where released
+    over 0 gives back that many bytes instead of asking. ``limits`` has tenant, capacity, qps,
+    bps and inflated. Capacity 0 denies any bytes; qps and bps 0 are no limits; denials don't
+    count, and a later denial gives the capacity back.
+    """
     rows = requests.join(limits, "tenant", "left").select(*ADMIT_FIELDS)
-    kind = requests.schema["tenant"].dataType.simpleString()
-    return ordered_fold(rows, ["tenant"], ["seq"], Quota, step, f"tenant {kind}, seq bigint, result string, used bigint")
+    return admit_fold(requests.schema["tenant"].dataType.simpleString(), window_ms).over(rows)
 
 
 def aligned_admission(requests: DataFrame, qps: int, order: list[str]) -> DataFrame:

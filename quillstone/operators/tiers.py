@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.fold import ordered_fold
+from quillstone.operators.fold import Fold, ordered_fold
 
 # Tier numbers, and what each kind of state allows. A kind without a policy
 # stores, may be evicted and is recomputed.
@@ -176,12 +176,11 @@ class TwoQueues:
         return "miss"
 
 
-def replay_2q(ops: DataFrame, node: str, order: list[str], capacity: int, ghosts: int = 1024) -> DataFrame:
-    """(node, seq, op, key, where, victims) of each operation on its node's cache.
+TWO_QUEUE_COLUMNS = ("seq", "op", "key", "bytes", "kind")
 
-    ``ops`` has node, seq, op (insert, lookup or erase), key, bytes and kind. Pinned kinds are
-    skipped as victims. An entry over the capacity is inserted after all else is evicted.
-    """
+
+def two_queue_fold(node: str, kind: str, order: list[str], capacity: int, ghosts: int = 1024) -> Fold:
+    """The two-queue cache as a fold over rows of node and TWO_QUEUE_COLUMNS."""
 
     def step(cache: TwoQueues, r: dict) -> Iterator[tuple]:
         gone: list[str] = []
@@ -191,9 +190,18 @@ def replay_2q(ops: DataFrame, node: str, order: list[str], capacity: int, ghosts
             where = cache.lookup(r["key"]) if r["op"] == "lookup" else cache.erase(r["key"])
         yield r[node], r["seq"], r["op"], r["key"], where, gone
 
-    kind = ops.schema[node].dataType.simpleString()
     schema = f"{node} {kind}, seq bigint, op string, key string, where string, victims array<string>"
-    return ordered_fold(ops.select(node, "seq", "op", "key", "bytes", "kind"), [node], order, lambda: TwoQueues(capacity, ghosts=ghosts), step, schema)
+    return Fold([node], order, lambda: TwoQueues(capacity, ghosts=ghosts), step, schema)
+
+
+def replay_2q(ops: DataFrame, node: str, order: list[str], capacity: int, ghosts: int = 1024) -> DataFrame:
+    """(node, seq, op, key, where, victims) of each operation on its node's cache.
+
+    ``ops`` has node, seq, op (insert, lookup or erase), key, bytes and kind. Pinned kinds are
+    skipped as victims. An entry over the capacity is inserted after all else is evicted.
+    """
+    kind = ops.schema[node].dataType.simpleString()
+    return two_queue_fold(node, kind, order, capacity, ghosts).over(ops.select(node, *TWO_QUEUE_COLUMNS))
 
 
 def deferred_evictions(ops: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -18,19 +18,19 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.expr(TARGET).alias("target"))
 
 
-@query(
-    "t11_membership_machine",
-    fold_sql(
-        f"SELECT event_id, user_id, {TARGET} AS target FROM events WHERE {TARGET} <> 'terminated' OR event_id % 20 = 0",
-        "user_id",
-        "event_id",
-        {
-            "state": ("'joining'", f"CASE WHEN f.state || '>' || s.target IN ({LEGAL_SQL}) THEN s.target ELSE f.state END"),
-            "result": ("''", f"CASE WHEN s.target = f.state THEN 'same' WHEN f.state || '>' || s.target IN ({LEGAL_SQL}) THEN 'ok' ELSE 'illegal' END"),
-        },
-        "user_id, event_id, state, result",
-    ),
+T11_SQL = fold_sql(
+    f"SELECT event_id, user_id, {TARGET} AS target FROM events WHERE {TARGET} <> 'terminated' OR event_id % 20 = 0",
+    "user_id",
+    "event_id",
+    {
+        "state": ("'joining'", f"CASE WHEN f.state || '>' || s.target IN ({LEGAL_SQL}) THEN s.target ELSE f.state END"),
+        "result": ("''", f"CASE WHEN s.target = f.state THEN 'same' WHEN f.state || '>' || s.target IN ({LEGAL_SQL}) THEN 'ok' ELSE 'illegal' END"),
+    },
+    "user_id, event_id, state, result",
 )
+
+
+@query("t11_membership_machine", T11_SQL)
 def t11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.membership(_targets(spark, sf_dir).filter("target <> 'terminated' OR event_id % 20 = 0"), "user_id", "event_id", "target")
 

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.api import EngineView, StateFrame
-from quillstone.operators import policies
+from quillstone.operators import membership, policies
+from quillstone.operators import tiers as tier_ops
+from quillstone.plans import membership as members
 from quillstone.plans import qos, sketch
+from quillstone.plans import tiers as tier_plans
 from quillstone.plans.prefix import TOKENS_SQL
 from quillstone.plans.registry import query
 from quillstone.session import ensure_checkpoint_dir, read_table
@@ -83,6 +86,18 @@ def t8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.run_to_end(feeds.admitted(requests, qos._limits(spark, sf_dir), 6 * 3_600_000))
 
 
+@query("t11_membership_stream", members.T11_SQL)
+def t11_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = _stream(spark, sf_dir).select("event_id", "user_id", F.expr(members.TARGET).alias("target")).filter("target <> 'terminated' OR event_id % 20 = 0")
+    return feeds.run_to_end(feeds.folded(feed, membership.membership_fold("user_id", "bigint", "event_id", "target")))
+
+
+@query("t1_two_queue_stream")
+def t1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = tier_ops.two_queue_fold("node", "bigint", ["seq"], 400, 8)
+    return feeds.run_to_end(feeds.folded(tier_plans.cache_ops(_stream(spark, sf_dir)), fold))
+
+
 @query("s17_object_uri", "SELECT doc_id, 's3a://cold/' || substr(md5(text), 1, 2) || '/' || substr(md5(text), 3) || '.kv' AS uri FROM documents")
 def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", tables.object_uri("cold", F.md5("text")).alias("uri"))

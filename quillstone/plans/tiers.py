@@ -144,12 +144,16 @@ def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.eviction_victims(rows, ["source"], ["doc_id"], "n_chars", "kind", F.lit(20000)).select("doc_id", "source")
 
 
-@query("t1_two_queue_replay")
-def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cache_ops(events: DataFrame) -> DataFrame:
+    """Events as cache operations; also of a stream."""
     kind = F.when(F.col("event_id") % 40 == 0, "EXEC_STATE").otherwise("KV")
     name = F.when(F.col("event_type") == "error", "erase").when(F.col("event_type").isin("view", "click"), "lookup").otherwise("insert")
-    ops = read_table(spark, sf_dir, "events").select(
+    return events.select(
         (F.col("user_id") % 16).alias("node"), F.col("event_id").alias("seq"), name.alias("op"),
         F.concat(F.lit("k"), F.col("user_id")).alias("key"), (F.col("event_id") % 90 + 10).alias("bytes"), kind.alias("kind"),
     )
-    return op.replay_2q(ops, "node", ["seq"], 400, 8)
+
+
+@query("t1_two_queue_replay")
+def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.replay_2q(cache_ops(read_table(spark, sf_dir, "events")), "node", ["seq"], 400, 8)

@@ -5,6 +5,7 @@ The batch operators' expressions are used as they are; what differs is where sta
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillstone.operators.fold import Fold
 from quillstone.operators.ledger import is_warm
-from quillstone.operators.qos import ADMIT_FIELDS, Quota
+from quillstone.operators.qos import ADMIT_FIELDS, admit_fold
 from quillstone.operators.sketch import bits
 from quillstone.session import ensure_checkpoint_dir
 
@@ -89,30 +91,28 @@ def debounced(feed: DataFrame, keys: list[str], ts: str, gap: str, late: str = "
     return grouped.agg(F.count("*").alias("changes")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "changes")
 
 
-def admitted(requests: DataFrame, limits: DataFrame, window_ms: int = 1000) -> DataFrame:
-    """qos.admit() of a stream: each tenant's counters live in the state store between batches."""
-    joined = requests.join(limits, "tenant", "left").select(*ADMIT_FIELDS)
+def folded(feed: DataFrame, fold: Fold) -> DataFrame:
+    """An ordered fold over a stream: a key's state is kept in the state store between batches.
+
+    Rows are ordered within a batch; order across batches is that of arrival.
+    """
+    names = [x.name for x in T._parse_datatype_string(fold.schema)]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        quota = Quota()
-        if state.exists:
-            used, start, requests_, bandwidth = state.get
-            quota.used, quota.start, quota.requests, quota.bandwidth = used, None if start < 0 else start, requests_, bandwidth
-        rows = pd.concat(list(parts)).sort_values("seq")
-        out = []
-        for r in rows.to_dict("records"):
-            r = {k: None if pd.isna(v) else v for k, v in r.items()}
-            if r["released"]:
-                quota.release(int(r["released"]))
-                result = "released"
-            else:
-                result = quota.admit(r, window_ms)
-            out.append((key[0], r["seq"], result, quota.used))
-        state.update((int(quota.used), -1 if quota.start is None else int(quota.start), int(quota.requests), int(quota.bandwidth)))
-        yield pd.DataFrame(out, columns=["tenant", "seq", "result", "used"])
-
-    schema = "tenant bigint, seq bigint, result string, used bigint"
-    return joined.groupBy("tenant").applyInPandasWithState(step, schema, "used bigint, start bigint, requests bigint, bandwidth bigint", "append", GroupStateTimeout.NoTimeout)
+        held = pickle.loads(state.get[0]) if state.exists else fold.start()
+        out: list[tuple] = []
+        for r in pd.concat(list(parts)).sort_values(fold.order).to_dict("records"):
+            out += fold.step(held, {k: None if v is None or v is pd.NaT or v != v else v for k, v in r.items()})
+        state.update((pickle.dumps(held),))
+        yield pd.DataFrame(out, columns=names)
+
+    return feed.groupBy(*fold.keys).applyInPandasWithState(step, fold.schema, "held binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def admitted(requests: DataFrame, limits: DataFrame, window_ms: int = 1000) -> DataFrame:
+    """qos.admit() of a stream."""
+    rows = requests.join(limits, "tenant", "left").select(*ADMIT_FIELDS)
+    return folded(rows, admit_fold(requests.schema["tenant"].dataType.simpleString(), window_ms))
 
 
 def on_event(feed: DataFrame, callback: Callable[[DataFrame, int], Any], checkpoint: str) -> Callable[[], None]:

@@ -244,3 +244,28 @@ def test_stream_replication_is_idempotent(spark, tmp_path):
     spark.createDataFrame([("s", "a", "ADD", 1, 1), ("s", "b", "ADD", 1, 5), ("s", "a", "ADD", 1, 0)], schema).write.mode("append").parquet(feed_dir)
     feeds.replicate(stream(), primary, out)()
     assert sorted((r.key, r.epoch) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 5)]
+
+
+def test_two_queues_of_a_stream_equal_those_of_a_batch(spark, sf_dir):
+    from quillstone import plans
+
+    batch, stream = (plans.QUERIES[q](spark, sf_dir) for q in ("t1_two_queue_replay", "t1_two_queue_stream"))
+    key = lambda r: (r.node, r.seq, r.op, r.key, r.where, list(r.victims))
+    assert sorted(map(key, batch.collect())) == sorted(map(key, stream.collect()))
+
+
+def test_fold_of_a_stream_keeps_state_between_batches(spark, tmp_path):
+    from quillstone.operators.fold import Fold
+    from quillstone.streaming import feeds
+
+    path = str(tmp_path / "feed")
+    for part in range(3):
+        spark.createDataFrame([("k", part * 10 + i) for i in range(10)], "k string, i int").coalesce(1).write.mode("append").parquet(path)
+
+    def step(state, r):
+        state.append(r["i"])
+        yield r["k"], r["i"], len(state)
+
+    fold = Fold(["k"], ["i"], list, step, "k string, i int, n int")
+    got = feeds.run_to_end(feeds.folded(feeds.events(spark, path, spark.read.parquet(path).schema, files_per_trigger=1), fold))
+    assert sorted(r.n for r in got.collect()) == list(range(1, 31))
