@@ -84,8 +84,10 @@ def _block(value: Column, marks: list[float]) -> Column:
     return F.coalesce(let(passed(coarse) * step, lambda c: c + passed(F.slice(every, c + 1, step))), F.lit(0))
 
 
-def with_next(rows: DataFrame, order_col: str, next_col: str, value: Column) -> DataFrame:
-    """``rows`` with ``value`` of the row that follows by ``order_col``, of the last the first's.
+def with_next(rows: DataFrame, order_col: str, own_col: str, next_col: str, value: Column) -> DataFrame:
+    """``rows`` with ``value`` as ``own_col``, and that of the row that follows by ``order_col``; of the last the first's.
+
+    ``value`` is made once for each row, after the rows that go to two blocks are picked.
 
     The order's range is cut into blocks at approximate quantiles, which bring the rows of a
     block together by one shuffle. The first row of each block is also sent to the block before
@@ -103,9 +105,9 @@ def with_next(rows: DataFrame, order_col: str, next_col: str, value: Column) ->
     sent = spark.createDataFrame([(r["first"], b) for r, b in zip(firsts, before)], f"_first {kind}, _to int")
     edge = rows.join(F.broadcast(sent), F.col(order_col) == F.col("_first")).drop("_first").withColumnRenamed("_to", "_block")
     both = own.withColumn("_edge", F.lit(False)).unionByName(edge.withColumn("_edge", F.lit(True)))
-    both = both.withColumn("_value", value)
-    order = Window.partitionBy("_block").orderBy("_edge", F.col(order_col).asc_nulls_first(), "_value")
-    return both.withColumn(next_col, F.lead("_value").over(order)).filter(~F.col("_edge")).drop("_block", "_edge", "_value")
+    both = both.withColumn(own_col, value)
+    order = Window.partitionBy("_block").orderBy("_edge", F.col(order_col).asc_nulls_first(), own_col)
+    return both.withColumn(next_col, F.lead(own_col).over(order)).filter(~F.col("_edge")).drop("_block", "_edge")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -119,19 +121,19 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Null texts count as empty. Repeated ids and rows are all returned; an empty table gives none.
     """
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("fingerprint", fingerprint(F.col("text"), gram, window))
-    paired = with_next(rows, id_col, "next", F.struct("text", "fingerprint"))
-    made = paired.withColumn("edited", edited(F.col("text"), F.col("next.text")))
-    made = made.withColumn("edited_fingerprint", fingerprint(F.col("edited"), gram, window))
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    marked = F.struct(F.col("_text").alias("text"), fingerprint(F.col("_text"), gram, window).alias("fingerprint"))
+    paired = with_next(rows, id_col, "_own", "_next", marked).drop("_text")
+    made = paired.withColumn("_edited", edited(F.col("_own.text"), F.col("_next.text")))
+    made = made.withColumn("_print", fingerprint(F.col("_edited"), gram, window))
     return made.select(
         id_col,
-        F.length("text").cast("long").alias("n_chars"),
-        "edited",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next.fingerprint")).alias("near_next"),
+        F.length("_own.text").cast("long").alias("n_chars"),
+        F.col("_edited").alias("edited"),
+        F.col("_own.fingerprint").alias("fingerprint"),
+        F.col("_print").alias("edited_fingerprint"),
+        likeness(F.col("_own.fingerprint"), F.col("_print")).alias("near_edited"),
+        likeness(F.col("_own.fingerprint"), F.col("_next.fingerprint")).alias("near_next"),
     )
 
 

@@ -81,7 +81,7 @@ def test_winnow_odd_rows(odd_docs):
 @pytest.mark.parametrize("count", [1, 2, 37])
 def test_next_row_across_blocks(spark, count):
     df = spark.createDataFrame([(i * i * 7,) for i in range(count)], "k bigint")
-    got = {r.k: r.n for r in winnow.with_next(df, "k", "n", F.col("k")).collect()}
+    got = {r.k: r.n for r in winnow.with_next(df, "k", "own", "n", F.col("k")).collect()}
     keys = sorted(got)
     assert got == {k: keys[(i + 1) % count] for i, k in enumerate(keys)}
 
