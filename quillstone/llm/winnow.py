@@ -99,11 +99,13 @@ def with_next(rows: DataFrame, order_col: str, own_col: str, next_col: str, valu
     blocks = min(MOST_BLOCKS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     marks = sorted(set(rows.stat.approxQuantile(order_col, [i / blocks for i in range(1, blocks)], 0.2 / blocks)))
     own = rows.withColumn("_block", _block(F.col(order_col), marks))
-    firsts = own.groupBy("_block").agg(F.min(order_col).alias("first")).orderBy("_block").collect()
+    least = F.when(F.max(F.col(order_col).isNull()), F.lit(None)).otherwise(F.min(order_col))
+    firsts = own.groupBy("_block").agg(least.alias("first")).orderBy("_block").collect()
     before = [r["_block"] for r in firsts[-1:] + firsts[:-1]]
+    pairs = F.array(*[F.struct(F.lit(r["first"]), F.lit(b)) for r, b in zip(firsts, before)])
     kind = rows.schema[order_col].dataType.simpleString()
-    sent = spark.createDataFrame([(r["first"], b) for r, b in zip(firsts, before)], f"_first {kind}, _to int")
-    edge = rows.join(F.broadcast(sent), F.col(order_col) == F.col("_first")).drop("_first").withColumnRenamed("_to", "_block")
+    sent = spark.range(1).select(F.inline(pairs.cast(f"array<struct<_first:{kind},_to:int>>")))
+    edge = rows.join(F.broadcast(sent), F.col(order_col).eqNullSafe(F.col("_first"))).drop("_first").withColumnRenamed("_to", "_block")
     both = own.withColumn("_edge", F.lit(False)).unionByName(edge.withColumn("_edge", F.lit(True)))
     both = both.withColumn(own_col, value)
     order = Window.partitionBy("_block").orderBy("_edge", F.col(order_col).asc_nulls_first(), own_col)

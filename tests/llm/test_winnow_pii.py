@@ -69,6 +69,20 @@ def test_guarantee_and_ties(spark):
     assert places == list(range(winnow.WINDOW - 1, 56))  # the rightmost of equal hashes
 
 
+def test_null_id_comes_first(spark):
+    rows = [(None, "null row abcdef"), (1, "one 11111111"), (2, "two 22222222")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.edited for r in winnow.compare_with_next(docs).collect()}
+    assert got == {None: "null rowone 111", 1: "one 11two 22", 2: "two 22null r"}
+    alone = winnow.compare_with_next(docs.filter("doc_id IS NULL")).collect()
+    assert [r.edited for r in alone] == ["null rownull ro"]
+
+
+def test_no_python_in_the_plan(spark, documents):
+    plan = winnow.compare_with_next(documents)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExistingRDD"))
+
+
 def test_winnow_odd_rows(odd_docs):
     rows = winnow.compare_with_next(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.near_next <= 1 for r in rows)
