@@ -42,6 +42,15 @@ def test_numpy_encoder_equals_library(library, monkeypatch):
             at += n
 
 
+def test_late_marks_equal_library(library):
+    """Marks that the library's normal form doesn't reorder, beside marks that it does."""
+    marks = [chr(c) for a, b in bpe.LATE_MARKS for c in range(a, b + 1)]
+    texts = [t for m in marks for t in (f"a{m}\u0338\u0345", f"a\u0345{m}\u0338", f"a{m}\u0301", f"x e{m}\u0323\u0301 y")] + ["\U00011935\U00011930"]
+    ids, sizes, *_ = bpe.ChunkIds(bpe.NumpyBpe(tokenizer_path())).texts(pa.array(texts))
+    ends = np.cumsum(sizes)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [ids_of(library, t) for t in texts]
+
+
 def test_query_equals_library(spark, sf_dir, documents, library):
     import hashlib
 
