@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm import langid, packing, quality, secrets, simhash
+from quillstone.llm import langid, nearcopy, packing, quality, secrets
 from quillstone.llm.queries import END_ID, tokenizer_path
 from quillstone.session import ensure_checkpoint_dir, read_table, small_batches
 
@@ -41,10 +41,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near copies, once.
 
-    Rows without an id all stay.
+    Near copies have 0.8 or more of their five-word shingles in common (Jaccard). Rows without an id all stay.
     """
     small_batches(spark)
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    found = nearcopy.near_copies(docs.select("doc_id", "text"))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     # of rows that share an id one stays, told by its text's hash; the join's order serves the window
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_h"))
