@@ -136,7 +136,7 @@ def f21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f19_layer_slice", "SELECT doc_id, l AS layer, substr(left(text, 1000), (l * (length(left(text, 1000)) // 6) + 1)::BIGINT, length(left(text, 1000)) // 6) AS part FROM documents, unnest(range(6)) r(l)")
 def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(1000)).alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("layer"))
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("layer"))
     return rows.select("doc_id", "layer", codec.layer_slice(F.col("b"), F.col("layer").cast("int"), 6).alias("part"))
 
 
