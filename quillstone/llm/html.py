@@ -24,6 +24,7 @@ from quillstone.llm.bpe import each_text
 # Names of HTML elements by their part in a page.
 RAW = frozenset("script style noscript template iframe svg math textarea title select object canvas".split())
 SIDE = frozenset("nav header footer aside form button dialog menu head label fieldset option".split())
+HEAD = frozenset("head title base basefont bgsound link meta style script noscript noframes template".split())  # what may stand in a head
 MAIN = frozenset("article main".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
@@ -81,6 +82,11 @@ def tokens(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[int, int]
         m = TOKEN.match(page, at)
         at = m.end()
         text = m["text"]
+        # </head> may be left out: the first words, or the first tag that can't stand in a head, end it
+        while stack and stack[-1][0] == "head" and (text.strip() if text is not None else m["name"] and not m["close"] and m["name"].lower() not in HEAD):
+            _, was, begun = stack.pop()
+            side -= was
+            spans.append((begun, len(out)))
         if text is not None:
             out.append(("link" if link else "word", text, side > 0))
             continue
