@@ -25,13 +25,15 @@ def local_session(cpus: int = 8, name: str = "quillstone") -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder in force: the cluster's ``spark.checkpoint.dir`` where it is set.
 
-    Only a session without that setting (local tests) gets a temporary folder.
+    Only a local session without that setting (tests) gets a temporary folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder and (sc.master or "").partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillstone-checkpoint-"))
     return sc.getCheckpointDir()
 
