@@ -33,6 +33,11 @@ def same_identity(a: Column, b: Column) -> Column:
     return (a["tenant"] == b["tenant"]) & (a["model"] == b["model"]) & (a["prefix"] == b["prefix"])
 
 
+def identity_key(loc: Column) -> Column:
+    """What same_identity compares, as one struct to group by."""
+    return F.struct(loc["tenant"], loc["model"], loc["prefix"])
+
+
 def locator_hash(loc: Column) -> Column:
     """Hash of what same_identity compares."""
     return identity_hash(loc["tenant"], loc["model"], loc["prefix"])

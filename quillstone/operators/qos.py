@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.fold import Fold, ordered_fold
+from quillstone.operators.fold import Fold
 
 INFLATION = 1.5
 
@@ -114,87 +113,28 @@ def class_stats(work: DataFrame, class_col: str, tenant_col: str, bytes_col: str
     return work.groupBy(class_col).agg(F.count("*").alias("depth"), F.sum(bytes_col).alias("bytes"), F.countDistinct(tenant_col).alias("tenants"))
 
 
-class Scheduler:
-    """Three classes with reservations; lower ones borrow what higher ones leave, and none starves."""
-
-    def __init__(self, window: int, shares: tuple[int, int, int] = (20, 75, 5), most_skips: int = 50):
-        whole = sum(shares) or 100
-        self.reserved = [window * s // whole for s in shares]
-        self.flight, self.skips, self.most_skips = [0, 0, 0], [0, 0, 0], most_skips
-        self.queues: list[OrderedDict] = [OrderedDict(), OrderedDict(), OrderedDict()]
-        self.known: dict = {}
-
-    def submit(self, seq: int, cls: int, tenant: str, size: int) -> None:
-        self.queues[cls].setdefault(tenant, deque()).append((seq, size))
-        self.known[seq] = (cls, size)
-
-    def complete(self, seq: int) -> None:
-        if seq in self.known:
-            cls, size = self.known.pop(seq)
-            self.flight[cls] -= size
-
-    def _fits(self, cls: int, size: int) -> bool:
-        if self.flight[cls] + size <= self.reserved[cls] or self.skips[cls] >= self.most_skips:
-            return True
-        loan = sum(max(0, self.reserved[i] - self.flight[i]) for i in range(cls))
-        return self.flight[cls] + size <= self.reserved[cls] + loan
-
-    def next(self) -> tuple[int, bool] | None:
-        for cls, queues in enumerate(self.queues):
-            if not queues:
-                self.skips[cls] = 0
-                continue
-            for tenant in list(queues):
-                seq, size = queues[tenant][0]
-                if not self._fits(cls, size):
-                    queues.move_to_end(tenant)
-                    continue
-                forced = self.flight[cls] + size > self.reserved[cls] and self.skips[cls] >= self.most_skips
-                queues[tenant].popleft()
-                if queues[tenant]:
-                    queues.move_to_end(tenant)
-                else:
-                    del queues[tenant]
-                self.flight[cls] += size
-                self.skips[cls] = 0
-                return seq, forced
-            self.skips[cls] += 1
-        return None
-
-
-def dispatch_order(ops: DataFrame, node: str, window: int, shares: tuple[int, int, int] = (20, 75, 5), most_skips: int = 50) -> DataFrame:
-    """(node, seq, dispatched, forced) of each ``next`` on its node's scheduler.
-
-    ``ops`` has node, seq, op (submit, next or complete), id, class, tenant and bytes; complete
-    names a dispatched id. A next that finds nothing to admit has a null dispatched.
-    """
-
-    def step(s: Scheduler, r: dict) -> Iterator[tuple]:
-        if r["op"] == "submit":
-            s.submit(r["id"], r["class"], r["tenant"], r["bytes"])
-        elif r["op"] == "complete":
-            s.complete(r["id"])
-        else:
-            got = s.next()
-            yield r[node], r["seq"], got and got[0], bool(got and got[1])
+def class_load(work: DataFrame, scope: list[str], bucket: str, bytes_col: str, done_col: str) -> DataFrame:
+    """(scope, bucket, submitted, finished, in_flight) in bytes, in_flight at the bucket's end.
 
-    kind = ops.schema[node].dataType.simpleString()
-    rows = ops.select(node, "seq", "op", "id", "class", "tenant", "bytes")
-    return ordered_fold(rows, [node], ["seq"], lambda: Scheduler(window, shares, most_skips), step, f"{node} {kind}, seq bigint, dispatched bigint, forced boolean")
+    Work is summed by scope and time bucket before anything is ordered, so a busy class costs
+    one row a bucket. In-flight bytes never fall below 0.
+    """
+    sums = work.groupBy(*scope, bucket).agg(
+        F.sum(F.when(F.col(done_col), 0).otherwise(F.col(bytes_col))).alias("submitted"), F.sum(F.when(F.col(done_col), F.col(bytes_col)).otherwise(0)).alias("finished")
+    )
+    moves = sums.withColumn("_delta", F.col("submitted") - F.col("finished"))
+    series = Window.partitionBy(*scope).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    rows = moves.withColumn("_sum", F.sum("_delta").over(series))
+    return rows.withColumn("in_flight", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(series))).drop("_delta", "_sum")
 
 
-def bounded_ring(arrivals: DataFrame, subscriber: str, order: list[str], capacity: int) -> DataFrame:
-    """(subscriber, seq, kept, dropped): a ring that drops the newest once full.
+def backlog(arrivals: DataFrame, subscriber: str, order: list[str], capacity: int) -> DataFrame:
+    """``arrivals`` with ``depth`` and ``over``: what waits unread, and whether a ring of ``capacity`` would have dropped.
 
-    ``arrivals`` has subscriber, seq and drained, the number that the reader took before.
+    ``drained`` is the number that the reader took before the arrival. The depth is that of an
+    unbounded queue: the running sum less its lowest value, where a reader found it empty.
     """
-
-    def step(ring: dict, r: dict) -> Iterator[tuple]:
-        ring["depth"] = max(0, ring["depth"] - r["drained"])
-        kept = ring["depth"] < capacity
-        ring["depth"] += kept
-        ring["dropped"] += not kept
-        yield r[subscriber], r["seq"], kept, ring["dropped"]
-
-    kind = arrivals.schema[subscriber].dataType.simpleString()
-    return ordered_fold(arrivals.select(subscriber, "seq", "drained"), [subscriber], order, lambda: {"depth": 0, "dropped": 0}, step, f"{subscriber} {kind}, seq bigint, kept boolean, dropped bigint")
+    series = Window.partitionBy(subscriber).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = arrivals.withColumn("_sum", F.sum(1 - F.col("drained")).over(series))
+    empty = F.min(F.col("_sum") - 1).over(series)
+    return rows.withColumn("depth", F.col("_sum") - F.least(F.lit(0), empty)).drop("_sum").withColumn("over", F.col("depth") > capacity)

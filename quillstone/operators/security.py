@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.fold import ordered_fold
-
 # Fixed values of the access matrix.
 DATA_ACTIONS = ["lookup", "reserve", "publish", "fetch", "seal", "release"]
 ADMIN_ACTIONS = ["admin_read", "admin_write", "cluster_admin"]
@@ -209,15 +206,7 @@ def audit_lines(records: DataFrame, columns: list[str]) -> DataFrame:
     return records.select(F.to_json(F.struct(*columns)).alias("line"))
 
 
-def decision_cache(requests: DataFrame, keys: list[str], ts_ms: str, seq: str, ttl_ms: int = 1000) -> DataFrame:
-    """(keys, seq, hit) of a cache of decisions: an entry serves for its time to live from its evaluation on."""
-
-    def step(s: dict, r: dict) -> Iterator[tuple]:
-        hit = s["at"] is not None and r[ts_ms] - s["at"] < ttl_ms
-        if not hit:
-            s["at"] = r[ts_ms]
-        yield *(r[k] for k in keys), r[seq], hit
-
-    kinds = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys)
-    rows = requests.select(*keys, ts_ms, seq)
-    return ordered_fold(rows, keys, [ts_ms, seq], lambda: {"at": None}, step, f"{kinds}, {seq} bigint, hit boolean")
+def aligned_decisions(requests: DataFrame, keys: list[str], ts_ms: str, order: list[str], ttl_ms: int = 1000) -> DataFrame:
+    """``requests`` with ``hit``: a decision is made once for each key and clock-aligned time to live."""
+    span = Window.partitionBy(*keys, F.expr(f"{ts_ms} div {int(ttl_ms)}")).orderBy(ts_ms, *order)
+    return requests.withColumn("hit", F.row_number().over(span) > 1)

@@ -1,15 +1,10 @@
-"""Storage tiers: lookups through them, retention policies, and the two-queue cache."""
+"""Storage tiers: lookups through them, retention policies, and what their operations show."""
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.fold import Fold, ordered_fold
-
 # Tier numbers, and what each kind of state allows. A kind without a policy
 # stores, may be evicted and is recomputed.
 TIERS = {"hbm": 1, "pinned": 2, "dram": 3, "nvme": 4, "cold": 5}
@@ -113,123 +108,44 @@ def eviction_victims(entries: DataFrame, node: list[str], age: list[str], bytes_
     return usable.withColumn("_freed", freed).filter(F.col("_freed") < need).drop("_freed")
 
 
-class TwoQueues:
-    """A two-queue cache: a FIFO for first-time keys, an LRU for keys seen again, and a ghost list."""
-
-    def __init__(self, capacity: int, first_share: float = 0.25, ghosts: int = 1024):
-        self.capacity, self.first_capacity, self.most_ghosts = capacity, int(capacity * first_share), ghosts
-        self.first: OrderedDict = OrderedDict()  # key -> (bytes, kind), oldest first
-        self.main: OrderedDict = OrderedDict()  # least recent first
-        self.ghosts: OrderedDict = OrderedDict()
-
-    def _held(self, queue: OrderedDict) -> int:
-        return sum(b for b, _ in queue.values())
-
-    def _drop(self, queue: OrderedDict) -> str | None:
-        for key, (_, kind) in queue.items():
-            if POLICIES.get(kind, ("evict", ""))[0] != "pinned":
-                del queue[key]
-                if queue is self.first:  # only first-time keys leave a ghost
-                    self.ghosts[key] = None
-                    while len(self.ghosts) > self.most_ghosts:
-                        self.ghosts.popitem(last=False)
-                return key
-        return None
-
-    def _make_room(self, incoming: int) -> list[str]:
-        gone = []
-        while self.first and self._held(self.first) + incoming > self.first_capacity:
-            key = self._drop(self.first)
-            if key is None:
-                break
-            gone.append(key)
-        while self._held(self.first) + self._held(self.main) + incoming > self.capacity:
-            key = self._drop(self.main) or self._drop(self.first)
-            if key is None:
-                break
-            gone.append(key)
-        return gone
-
-    def lookup(self, key: str) -> str:
-        if key in self.main:
-            self.main.move_to_end(key)
-            return "main"
-        return "first" if key in self.first else "ghost" if key in self.ghosts else "miss"
-
-    def insert(self, key: str, size: int, kind: str) -> tuple[str, list[str]]:
-        for name, queue in (("first", self.first), ("main", self.main)):
-            if key in queue:  # a replaced entry keeps its place
-                queue[key] = (size, kind)
-                return name, self._make_room(0)
-        again = key in self.ghosts
-        if again:
-            del self.ghosts[key]
-        gone = self._make_room(size)
-        (self.main if again else self.first)[key] = (size, kind)
-        return ("main" if again else "first"), gone
-
-    def erase(self, key: str) -> str:
-        for name, queue in (("first", self.first), ("main", self.main), ("ghost", self.ghosts)):
-            if key in queue:
-                del queue[key]
-                return name
-        return "miss"
-
-
-TWO_QUEUE_COLUMNS = ("seq", "op", "key", "bytes", "kind")
-
-
-def two_queue_fold(node: str, kind: str, order: list[str], capacity: int, ghosts: int = 1024) -> Fold:
-    """The two-queue cache as a fold over rows of node and TWO_QUEUE_COLUMNS."""
-
-    def step(cache: TwoQueues, r: dict) -> Iterator[tuple]:
-        gone: list[str] = []
-        if r["op"] == "insert":
-            where, gone = cache.insert(r["key"], r["bytes"], r["kind"])
-        else:
-            where = cache.lookup(r["key"]) if r["op"] == "lookup" else cache.erase(r["key"])
-        yield r[node], r["seq"], r["op"], r["key"], where, gone
-
-    schema = f"{node} {kind}, seq bigint, op string, key string, where string, victims array<string>"
-    return Fold([node], order, lambda: TwoQueues(capacity, ghosts=ghosts), step, schema)
-
-
-def replay_2q(ops: DataFrame, node: str, order: list[str], capacity: int, ghosts: int = 1024) -> DataFrame:
-    """(node, seq, op, key, where, victims) of each operation on its node's cache.
-
-    ``ops`` has node, seq, op (insert, lookup or erase), key, bytes and kind. Pinned kinds are
-    skipped as victims. An entry over the capacity is inserted after all else is evicted.
+def queue_places(ops: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``ops`` with ``where`` before each operation: miss, first or main.
+
+    A key is in the first-time queue after one insert since it was last erased, and in the main
+    one after more; what a cache of some size would have dropped is left to ``reuse``.
     """
-    kind = ops.schema[node].dataType.simpleString()
-    return two_queue_fold(node, kind, order, capacity, ghosts).over(ops.select(node, *TWO_QUEUE_COLUMNS))
+    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    lives = ops.withColumn("_life", F.coalesce(F.count_if(F.col("op") == "erase").over(before), F.lit(0)))
+    own = Window.partitionBy(*key, "_life").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.count_if(F.col("op") == "insert").over(own), F.lit(0))
+    return lives.withColumn("where", F.when(held == 0, "miss").when(held == 1, "first").otherwise("main")).drop("_life")
 
 
-def deferred_evictions(ops: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(key, seq, outcome) of evictions (T2): pruned, deferred, or dropped.
+def reuse(accesses: DataFrame, key: list[str], order: list[str], ts_us: str) -> DataFrame:
+    """``accesses`` with ``gap_us`` since the key's last one, null at its first: what a retention time would hold."""
+    series = Window.partitionBy(*key).orderBy(*order)
+    return accesses.withColumn("gap_us", F.col(ts_us) - F.lag(ts_us).over(series))
 
-    ``ops`` has key, seq and op: insert, acquire, release or evict. An eviction prunes a leaf
+
+def deferred_evictions(ops: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, outcome) of evictions (T2): pruned, deferred, or dropped.
+
+    ``ops`` has key, order and op: insert, acquire, release or evict. An eviction prunes a leaf
     that nobody but its owner holds, and is deferred else; a deferred one prunes at the release
     that leaves the owner alone, and is dropped if the leaf is replaced before.
     """
-
-    def step(s: dict, r: dict) -> Iterator[tuple]:
-        outcome = None
-        if r["op"] == "insert":
-            outcome = "dropped" if s["waiting"] else None
-            s.update(there=True, holds=1, waiting=False)
-        elif s["there"] and r["op"] == "acquire":
-            s["holds"] += 1
-        elif s["there"] and r["op"] == "release":
-            s["holds"] = max(1, s["holds"] - 1)
-            if s["waiting"] and s["holds"] == 1:
-                outcome = "pruned"
-                s.update(there=False, waiting=False)
-        elif s["there"] and r["op"] == "evict":
-            outcome = "pruned" if s["holds"] == 1 else "deferred"
-            s.update(there=s["holds"] > 1, waiting=s["holds"] > 1)
-        if outcome:
-            yield r[key], r["seq"], outcome
-
-    kind = ops.schema[key].dataType.simpleString()
-    start = lambda: {"there": False, "holds": 1, "waiting": False}
-    return ordered_fold(ops.select(key, "seq", "op"), [key], order, start, step, f"{key} {kind}, seq bigint, outcome string")
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    lives = ops.withColumn("_life", F.count_if(F.col("op") == "insert").over(upto)).filter("_life > 0")
+    own = Window.partitionBy(key, "_life").orderBy(order)
+    sofar, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+    move = F.when(F.col("op") == "acquire", 1).when(F.col("op") == "release", -1).otherwise(0)
+    rows = lives.withColumn("_sum", F.sum(move).over(sofar))
+    rows = rows.withColumn("_held", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(sofar)))  # by others than the owner
+    rows = rows.withColumn("_waiting", F.coalesce(F.max(F.col("op") == "evict").over(before), F.lit(False)))
+    ends = (F.col("_held") == 0) & ((F.col("op") == "evict") | ((F.col("op") == "release") & F.col("_waiting")))
+    rows = rows.withColumn("_ends", ends).withColumn("_gone", F.coalesce(F.max("_ends").over(before), F.lit(False)))
+    replaced = (F.lead("op").over(Window.partitionBy(key).orderBy(order)) == "insert") & (F.col("_waiting") | (F.col("op") == "evict")) & ~F.col("_ends") & ~F.col("_gone")
+    rows = rows.withColumn("_next", F.when(replaced, F.lead(order).over(Window.partitionBy(key).orderBy(order))))
+    own_row = F.when(~F.col("_gone") & F.col("_ends"), "pruned").when(~F.col("_gone") & (F.col("op") == "evict"), "deferred")
+    both = F.array(F.struct(F.col(order).alias(order), own_row.alias("outcome")), F.struct(F.col("_next").alias(order), F.when(F.col("_next").isNotNull(), "dropped").alias("outcome")))
+    return rows.select(key, F.inline(both)).filter("outcome IS NOT NULL")

@@ -61,26 +61,17 @@ def s43(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.expr("CASE event_type WHEN 'view' THEN 'acquire' WHEN 'click' THEN 'release' WHEN 'error' THEN 'evict' ELSE 'insert' END").alias("op")
-    return tiers.deferred_evictions(read_table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), op), "user_id", ["seq"])
-
-
-_HIT = "coalesce(s.ts_ms - f.at < 21600000, false)"
+    return tiers.deferred_evictions(read_table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), op), "user_id", "seq")
 
 
 @query(
     "t13_decision_cache",
-    fold_sql(
-        "SELECT user_id, event_type, user_id || event_type AS k, epoch_ms(ts) AS ts_ms, event_id AS seq FROM events",
-        "k",
-        "ts_ms, seq",
-        {"at": ("NULL::BIGINT", f"CASE WHEN {_HIT} THEN f.at ELSE s.ts_ms END"), "hit": ("false", _HIT)},
-        "user_id, event_type, seq, hit",
-    ),
+    "SELECT user_id, event_type, event_id AS seq, row_number() OVER (PARTITION BY user_id, event_type, epoch_ms(ts) // 21600000 ORDER BY ts, event_id) > 1 AS hit FROM events",
 )
 def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.expr("unix_millis(CAST(ts AS timestamp))").alias("ts_ms")
     rows = read_table(spark, sf_dir, "events").select("user_id", "event_type", at, F.col("event_id").alias("seq"))
-    return security.decision_cache(rows, ["user_id", "event_type"], "ts_ms", "seq", 6 * 3_600_000)
+    return security.aligned_decisions(rows, ["user_id", "event_type"], "ts_ms", ["seq"], 6 * 3_600_000).drop("ts_ms")
 
 
 @query(

@@ -134,7 +134,7 @@ def f21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("event_id", text.ticker_line(name, F.col("event_id")).alias("line"))
 
 
-@query("f19_layer_slice", "SELECT doc_id, l AS layer, substr(left(text, 1000), (l * (length(left(text, 1000)) // 6) + 1)::BIGINT, length(left(text, 1000)) // 6) AS part FROM documents, unnest(range(6)) r(l)")
+@query("f19_layer_slice", "SELECT doc_id, l AS layer, substr(text, (l * (length(text) // 6) + 1)::BIGINT, length(text) // 6) AS part FROM documents, unnest(range(6)) r(l)")
 def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("layer"))
     return rows.select("doc_id", "layer", codec.layer_slice(F.col("b"), F.col("layer").cast("int"), 6).alias("part"))
@@ -152,12 +152,13 @@ def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p2_identity_equality",
-    "SELECT a.doc_id, b.doc_id AS other FROM documents a JOIN documents b ON a.lang = b.lang AND a.source = b.source AND md5(a.text) = md5(b.text) WHERE a.doc_id < b.doc_id",
+    "SELECT doc_id, min(doc_id) OVER w AS same_as, count(*) OVER w AS members FROM documents WINDOW w AS (PARTITION BY lang, source, md5(text))",
 )
 def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _locators(spark, sf_dir).alias("a")
-    b = _locators(spark, sf_dir).select(F.col("doc_id").alias("other"), F.col("l").alias("m"))
-    return a.join(b, identity.same_identity(F.col("l"), F.col("m"))).filter("doc_id < other").select("doc_id", "other")
+    """Each document with the least id of its class of equal identities, and the class's size; never its pairs."""
+    rows = _locators(spark, sf_dir).select("doc_id", identity.identity_key(F.col("l")).alias("k"))
+    classes = rows.groupBy("k").agg(F.min("doc_id").alias("same_as"), F.count("*").alias("members"))
+    return rows.join(classes, rows["k"].eqNullSafe(classes["k"])).select("doc_id", "same_as", "members")
 
 
 @query("p3_identity_hash", "SELECT doc_id, md5(lang || '|' || source || '|' || md5(text)) AS h FROM documents")
@@ -208,9 +209,9 @@ def _tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.channels(read_table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
 
 
-@query("w3_token_delta", f"WITH {ROWS_SQL} SELECT g, t, e, d FROM d WHERE e % 8 = 0")
+@query("w3_token_delta", f"WITH {ROWS_SQL} SELECT g, t, e, d FROM d")
 def w3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec.token_delta(_tensor(spark, sf_dir)).filter("e % 8 = 0").select("g", "t", F.col("e").cast("bigint"), "d")
+    return codec.token_delta(_tensor(spark, sf_dir)).select("g", "t", F.col("e").cast("bigint"), "d")
 
 
 @query("a14_channel_scale", f"WITH {ROWS_SQL}, {SCALE_SQL} SELECT g, e, peak, scale FROM sc")

@@ -188,9 +188,9 @@ def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.layer_order(nation.filter("n_regionkey <> 1"), nation.join(used, "ordinal"), "layer")
 
 
-@query("j11_handle_join", "SELECT l_orderkey, l_linenumber, o_custkey, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45")
+@query("j11_handle_join", "SELECT l_orderkey, l_linenumber, o_custkey, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    handles = read_table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_linenumber")
+    handles = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     owners = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
     return handles.join(owners, "l_orderkey")
 

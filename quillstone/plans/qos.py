@@ -122,34 +122,45 @@ def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.admit(_requests(spark, sf_dir), _limits(spark, sf_dir), 6 * 3_600_000)
 
 
-@query("t10_priority_scheduler")
+_LOAD_CLASS = "CASE WHEN event_id % 3 = 0 THEN 2 WHEN event_id % 3 = 1 THEN 1 ELSE 0 END"
+
+
+@query(
+    "t10_class_load",
+    f"""WITH b AS (SELECT user_id % 5 AS tenant, {_LOAD_CLASS} AS class, epoch_ms(ts) // 3600000 AS hour,
+                      sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE event_id % 120 + 1 END)::BIGINT AS submitted, sum(CASE WHEN event_type = 'purchase' THEN event_id % 120 + 1 ELSE 0 END)::BIGINT AS finished
+               FROM events GROUP BY ALL),
+    s AS (SELECT *, sum(submitted - finished) OVER w AS level FROM b WINDOW w AS (PARTITION BY tenant, class ORDER BY hour))
+    SELECT tenant, class, hour, submitted, finished, (level - least(0, min(level) OVER (PARTITION BY tenant, class ORDER BY hour)))::BIGINT AS in_flight FROM s""",
+)
 def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.col("event_type").isin("view", "click"), "submit").when(F.col("event_type") == "error", "complete").otherwise("next")
-    kind = F.when(F.col("event_id") % 3 == 0, 2).when(F.col("event_id") % 3 == 1, 1).otherwise(0)
-    ops = read_table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 8).alias("node"), F.col("event_id").alias("seq"), name.alias("op"), F.when(name == "complete", F.col("event_id") - 40).otherwise(F.col("event_id")).alias("id"),
-        kind.alias("class"), F.concat(F.lit("t"), F.col("user_id") % 5).alias("tenant"), (F.col("event_id") % 120 + 1).alias("bytes"),
+    hour = F.expr("unix_millis(CAST(ts AS timestamp)) div 3600000").alias("hour")
+    work = read_table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 5).alias("tenant"), F.expr(_LOAD_CLASS).alias("class"), hour, (F.col("event_id") % 120 + 1).alias("bytes"), (F.col("event_type") == "purchase").alias("done")
     )
-    return op.dispatch_order(ops, "node", 1000)
+    return op.class_load(work, ["tenant", "class"], "hour", "bytes", "done")
+
+
+def _backlog_sql(drained: str, capacity: int) -> str:
+    """The depth by its recursion: what was left, but at least nothing, and the arrival."""
+    source = f"SELECT user_id, event_id AS seq, {drained} AS drained FROM events"
+    state = {"depth": ("0::BIGINT", "greatest(0, f.depth - s.drained) + 1")}
+    return fold_sql(source, "user_id", "seq", state, f"user_id, seq, depth, depth > {capacity} AS over")
+
+
+_SLOW, _BURSTS = "CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END", "CASE WHEN event_id % 20 = 0 THEN 15 ELSE 0 END"
 
 
-def _ring_sql(source: str, key: str, capacity: int) -> str:
-    left = "greatest(0, f.depth - s.drained)"
-    state = {
-        "depth": ("0::BIGINT", f"{left} + CASE WHEN {left} < {capacity} THEN 1 ELSE 0 END"),
-        "dropped": ("0::BIGINT", f"f.dropped + CASE WHEN {left} < {capacity} THEN 0 ELSE 1 END"),
-        "kept": ("false", f"{left} < {capacity}"),
-    }
-    return fold_sql(source, key, "seq", state, f"{key}, seq, kept, dropped")
+def _backlog(spark: SparkSession, sf_dir: str, drained: str, capacity: int) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.expr(drained).cast("bigint").alias("drained"))
+    return op.backlog(rows, "user_id", ["seq"], capacity).select("user_id", "seq", "depth", "over")
 
 
-@query("t9_bounded_ring", _ring_sql("SELECT user_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS drained FROM events", "user_id", 8))
+@query("t9_subscriber_backlog", _backlog_sql(_SLOW, 8))
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 3 == 0).cast("int").alias("drained"))
-    return op.bounded_ring(rows, "user_id", ["seq"], 8)
+    return _backlog(spark, sf_dir, _SLOW, 8)
 
 
-@query("t14_audit_ring", _ring_sql("SELECT user_id % 4 AS node, event_id AS seq, CASE WHEN event_id % 200 = 0 THEN 150 ELSE 0 END AS drained FROM events", "node", 100))
+@query("t14_audit_backlog", _backlog_sql(_BURSTS, 10))
 def t14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("node"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 200 == 0, 150).otherwise(0).alias("drained"))
-    return op.bounded_ring(rows, "node", ["seq"], 100)
+    return _backlog(spark, sf_dir, _BURSTS, 10)

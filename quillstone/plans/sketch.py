@@ -1,4 +1,8 @@
-"""Queries of sketches: even documents' whole texts are the keys of their language's node."""
+"""Queries of sketches: documents' whole texts are the keys of their language's node.
+
+Where one side asks what the other has stored, even documents are stored and odd ones ask. All
+sketches of a query have one size, of the number of keys stored.
+"""
 
 from __future__ import annotations
 
@@ -9,37 +13,50 @@ from quillstone.operators import sketch as op
 from quillstone.plans.registry import query
 from quillstone.session import read_table
 
-M, K = op.bloom_params(1024, 0.01)
+RATE = 0.01
+#: Bits of a window's sketch of users (T12), and the hashes of each key at this rate.
+M, K = op.bloom_params(1024, RATE)
 
 
 def _hash(part: int, key: str) -> str:
     return f"('0x' || substr(md5({key}), {13 * part + 1}, 13))::BIGINT"
 
 
-def _bits(key: str) -> str:
-    return f"(({_hash(0, key)} + i * {_hash(1, key)}) % {M})"
+def _bits(key: str, m: str | int = M) -> str:
+    return f"(({_hash(0, key)} + i * {_hash(1, key)}) % {m})"
 
 
 IS = f"unnest(range({K})) r(i)"
-SKETCH_SQL = f"sk AS (SELECT DISTINCT lang AS node, {_bits('text')} AS bit FROM documents, {IS} WHERE doc_id % 2 = 0)"
-PROBE_SQL = f"pr AS (SELECT DISTINCT doc_id, lang, {_bits('text')} AS bit FROM documents, {IS} WHERE doc_id % 2 = 1)"
+
+
+def _sketch_sql(stored: str) -> str:
+    size = f"ceil(ceil(-greatest(count(*), 1) * ln({RATE}::DOUBLE) / 0.4804530139182014::DOUBLE) / 64) * 64"
+    return f"""size AS (SELECT ({size})::BIGINT AS m FROM documents WHERE {stored}),
+    sk AS (SELECT DISTINCT lang AS node, {_bits('text', 'm')} AS bit FROM documents, size, {IS} WHERE {stored})"""
+
+
+SKETCH_SQL = _sketch_sql("doc_id % 2 = 0")
+WHOLE_SQL = _sketch_sql("true")
+PROBE_SQL = f"pr AS (SELECT DISTINCT doc_id, lang, {_bits('text', 'm')} AS bit FROM documents, size, {IS} WHERE doc_id % 2 = 1)"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
-def sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.build_sketch(documents(spark, sf_dir).filter("doc_id % 2 = 0"), F.col("lang"), F.col("text"), M, K)
+def sketch(spark: SparkSession, sf_dir: str, stored: str = "true") -> tuple[DataFrame, int]:
+    """The sketches of the stored documents, and their bits."""
+    rows = documents(spark, sf_dir).filter(stored)
+    m, k = op.bloom_params(rows.count(), RATE)
+    return op.build_sketch(rows, F.col("lang"), F.col("text"), m, k), m
 
 
-def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.merge_sketches(sketch(spark, sf_dir), M, K)
+EVEN, ODD = "doc_id % 2 = 0", "doc_id % 2 = 1"
 
 
-@query("a1_bloom_build", f"WITH {SKETCH_SQL} SELECT node, bit // 32 AS word, sum(1::BIGINT << (bit % 32)::INT)::BIGINT AS value FROM sk GROUP BY ALL")
+@query("a1_bloom_build", f"WITH {WHOLE_SQL} SELECT node, bit // 32 AS word, sum(1::BIGINT << (bit % 32)::INT)::BIGINT AS value FROM sk GROUP BY ALL")
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.to_words(sketch(spark, sf_dir)).select("node", "word", "value")
+    return op.to_words(sketch(spark, sf_dir)[0]).select("node", "word", "value")
 
 
 @query(
@@ -55,15 +72,16 @@ def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("lang", "n", "rate", m.alias("m"), k.alias("k"))
 
 
-@query("a3_bloom_merge", f"WITH {SKETCH_SQL} SELECT {M} AS m, {K} AS k, count(DISTINCT bit) AS n_bits FROM sk")
+@query("a3_bloom_merge", f"WITH {WHOLE_SQL} SELECT max(m) AS m, {K} AS k, count(DISTINCT bit) AS n_bits FROM sk, size")
 def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.merged_header(merged(spark, sf_dir))
+    every, m = sketch(spark, sf_dir)
+    return op.merged_header(op.merge_sketches(every, m, K))
 
 
-@query("u1_sketch_union", f"WITH {SKETCH_SQL} SELECT DISTINCT bit FROM sk WHERE node IN ('en', 'de')")
+@query("u1_sketch_union", f"WITH {WHOLE_SQL} SELECT DISTINCT bit FROM sk WHERE node IN ('en', 'de')")
 def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = sketch(spark, sf_dir)
-    return op.merge_sketches(every.filter("node = 'en'").union(every.filter("node = 'de'")), M, K).select("bit")
+    every, m = sketch(spark, sf_dir)
+    return op.merge_sketches(every.filter("node = 'en'").union(every.filter("node = 'de'")), m, K).select("bit")
 
 
 @query(
@@ -71,15 +89,15 @@ def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {SKETCH_SQL}, {PROBE_SQL}, u AS (SELECT DISTINCT bit FROM sk) SELECT doc_id, bool_and(u.bit IS NOT NULL) AS maybe FROM pr LEFT JOIN u USING (bit) GROUP BY doc_id",
 )
 def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = documents(spark, sf_dir).filter("doc_id % 2 = 1")
-    return op.maybe_contains(odd, "doc_id", F.col("text"), merged(spark, sf_dir), M, K)
+    stored, m = sketch(spark, sf_dir, EVEN)
+    return op.maybe_contains(documents(spark, sf_dir).filter(ODD), "doc_id", F.col("text"), op.merge_sketches(stored, m, K), m, K)
 
 
 @query("j6_aggregated_probe_empty", "SELECT doc_id, false AS maybe FROM documents WHERE doc_id % 2 = 1")
 def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = op.merge_sketches(sketch(spark, sf_dir), M + 64, K)  # no node has these parameters
-    odd = documents(spark, sf_dir).filter("doc_id % 2 = 1")
-    return op.maybe_contains(odd, "doc_id", F.col("text"), none, M, K)
+    stored, m = sketch(spark, sf_dir, EVEN)
+    none = op.merge_sketches(stored, m + 64, K)  # no node has these parameters
+    return op.maybe_contains(documents(spark, sf_dir).filter(ODD), "doc_id", F.col("text"), none, m, K)
 
 
 def _node_probe(unknown: bool) -> str:
@@ -89,9 +107,9 @@ def _node_probe(unknown: bool) -> str:
 
 
 def _own_node(spark: SparkSession, sf_dir: str, unknown: bool) -> DataFrame:
-    odd = documents(spark, sf_dir).filter("doc_id % 2 = 1")
-    some = sketch(spark, sf_dir).filter("node <> 'fr'")
-    return op.node_maybe_has(odd, "doc_id", F.col("lang"), F.col("text"), some, M, K, unknown)
+    stored, m = sketch(spark, sf_dir, EVEN)
+    odd = documents(spark, sf_dir).filter(ODD)
+    return op.node_maybe_has(odd, "doc_id", F.col("lang"), F.col("text"), stored.filter("node <> 'fr'"), m, K, unknown)
 
 
 @query("j7_view_probe", _node_probe(True))

@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from quillstone.api import EngineView, StateFrame
 from quillstone.operators import membership, policies
-from quillstone.operators import tiers as tier_ops
 from quillstone.plans import membership as members
 from quillstone.plans import qos, sketch
-from quillstone.plans import tiers as tier_plans
 from quillstone.plans.prefix import TOKENS_SQL
 from quillstone.plans.registry import query
 from quillstone.session import ensure_checkpoint_dir, read_table
@@ -92,12 +90,6 @@ def t11_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.run_to_end(feeds.folded(feed, membership.membership_fold("user_id", "bigint", "event_id", "target")))
 
 
-@query("t1_two_queue_stream")
-def t1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fold = tier_ops.two_queue_fold("node", "bigint", ["seq"], 400, 8)
-    return feeds.run_to_end(feeds.folded(tier_plans.cache_ops(_stream(spark, sf_dir)), fold))
-
-
 @query("s17_object_uri", "SELECT doc_id, 's3a://cold/' || substr(md5(text), 1, 2) || '/' || substr(md5(text), 3) || '.kv' AS uri FROM documents")
 def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", tables.object_uri("cold", F.md5("text")).alias("uri"))
@@ -148,9 +140,8 @@ def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "e2_compressed_payload",
-    "SELECT doc_id AS id, md5(text) AS digest FROM documents WHERE doc_id % 2 = 0",
+    "SELECT doc_id AS id, md5(text) AS digest FROM documents",
 )
 def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
-    stored = rows.select(F.col("doc_id").alias("id"), StateFrame.compress_store(F.encode("text", "utf-8")).alias("s"))
+    stored = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), StateFrame.compress_store(F.encode("text", "utf-8")).alias("s"))
     return stored.select("id", F.md5(StateFrame.compress_retrieve(F.col("s"))).alias("digest"))

@@ -144,16 +144,17 @@ def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.eviction_victims(rows, ["source"], ["doc_id"], "n_chars", "kind", F.lit(20000)).select("doc_id", "source")
 
 
-def cache_ops(events: DataFrame) -> DataFrame:
-    """Events as cache operations; also of a stream."""
-    kind = F.when(F.col("event_id") % 40 == 0, "EXEC_STATE").otherwise("KV")
-    name = F.when(F.col("event_type") == "error", "erase").when(F.col("event_type").isin("view", "click"), "lookup").otherwise("insert")
-    return events.select(
-        (F.col("user_id") % 16).alias("node"), F.col("event_id").alias("seq"), name.alias("op"),
-        F.concat(F.lit("k"), F.col("user_id")).alias("key"), (F.col("event_id") % 90 + 10).alias("bytes"), kind.alias("kind"),
-    )
+_OP = "CASE WHEN event_type = 'error' THEN 'erase' WHEN event_type IN ('view', 'click') THEN 'lookup' ELSE 'insert' END"
 
 
-@query("t1_two_queue_replay")
+@query(
+    "t1_queue_places",
+    f"""WITH o AS (SELECT user_id, event_id AS seq, epoch_us(ts) AS ts_us, {_OP} AS op FROM events),
+    l AS (SELECT *, coalesce(count(*) FILTER (op = 'erase') OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM o),
+    h AS (SELECT *, coalesce(count(*) FILTER (op = 'insert') OVER (PARTITION BY user_id, life ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+                 ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY seq) AS gap_us FROM l)
+    SELECT user_id, seq, op, CASE held WHEN 0 THEN 'miss' WHEN 1 THEN 'first' ELSE 'main' END AS "where", gap_us FROM h""",
+)
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.replay_2q(cache_ops(read_table(spark, sf_dir, "events")), "node", ["seq"], 400, 8)
+    ops = read_table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.expr("unix_micros(CAST(ts AS timestamp))").alias("ts_us"), F.expr(_OP).alias("op"))
+    return op.reuse(op.queue_places(ops, ["user_id"], ["seq"]), ["user_id"], ["seq"], "ts_us").select("user_id", "seq", "op", "where", "gap_us")

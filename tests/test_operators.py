@@ -84,18 +84,17 @@ def test_hrw(spark):
     assert {r[1] for r in rows(routing.hrw_primary(keys, F.col("key"), none))} == {None}
 
 
-def test_two_queues(spark):
-    ops = [
-        ("insert", "a", 20, "KV"), ("insert", "b", 20, "KV"), ("lookup", "a", 0, "KV"), ("insert", "a", 20, "KV"), ("lookup", "a", 0, "KV"),
-        ("insert", "c", 20, "EXEC_STATE"), ("insert", "d", 20, "KV"), ("insert", "big", 500, "KV"), ("lookup", "a", 0, "KV"), ("erase", "c", 0, "KV"), ("erase", "zz", 0, "KV"),
-    ]
-    df = spark.createDataFrame([("n", i, *o) for i, o in enumerate(ops)], "node string, seq bigint, op string, key string, bytes bigint, kind string")
-    got = {r.seq: (r.where, list(r.victims)) for r in tiers.replay_2q(df, "node", ["seq"], 100).collect()}
-    assert got[1] == ("first", ["a"]) and got[2] == ("ghost", [])  # 25 bytes of first-time keys
-    assert got[3] == ("main", ["b"]) and got[4] == ("main", [])
-    assert got[6] == ("first", [])  # the pinned one stays, and nothing else can go
-    assert got[7] == ("first", ["d", "a"]) and got[8] == ("miss", [])  # main keys leave no ghost
-    assert got[9] == ("first", []) and got[10] == ("miss", [])
+def test_queue_places(spark):
+    ops = ["lookup", "insert", "lookup", "insert", "lookup", "erase", "lookup", "insert", "erase"]
+    df = spark.createDataFrame([("a", i, o) for i, o in enumerate(ops)], "key string, seq bigint, op string")
+    got = [r["where"] for r in tiers.queue_places(df, ["key"], ["seq"]).orderBy("seq").collect()]
+    assert got == ["miss", "miss", "first", "first", "main", "main", "miss", "miss", "first"]
+
+
+def test_backlog_starts_anew_when_a_reader_found_nothing(spark):
+    df = spark.createDataFrame([("s", i, d) for i, d in enumerate([0, 0, 9, 0, 1])], "who string, seq bigint, drained bigint")
+    got = [(r.depth, r.over) for r in qos.backlog(df, "who", ["seq"], 1).orderBy("seq").collect()]
+    assert got == [(1, False), (2, True), (1, False), (2, True), (2, True)]
 
 
 def admit(spark, requests, capacity, qps, bps, inflated=False):
@@ -116,22 +115,6 @@ def test_quota(spark):
     assert qos.admit(unknown, none).collect()[0].result == "unknown_tenant"
 
 
-def dispatch(spark, ops, window=1000):
-    schema = "node string, seq bigint, op string, id bigint, class int, tenant string, bytes bigint"
-    df = spark.createDataFrame([("n", i, *o) for i, o in enumerate(ops)], schema)
-    return [r.dispatched for r in qos.dispatch_order(df, "node", window).orderBy("seq").collect()]
-
-
-def test_scheduler(spark):
-    submit = lambda i, c, size=1, t="t": ("submit", i, c, t, size)
-    take, done = ("next", None, None, None, None), lambda i: ("complete", i, None, None, None)
-    assert dispatch(spark, [submit(1, 2), submit(2, 1), submit(3, 0), take, take, take, take]) == [3, 2, 1, None]
-    assert dispatch(spark, [submit(i, 0, 100) for i in (1, 2, 3)] + [take, take, take, done(1), take]) == [1, 2, None, 3]
-    assert dispatch(spark, [submit(1, 2, 600), take]) == [1]  # lent by the higher classes
-    assert dispatch(spark, [submit(i, 1, 1, t) for i, t in ((1, "a"), (2, "a"), (3, "b"), (4, "c"))] + [take] * 4) == [1, 3, 4, 2]
-    assert dispatch(spark, [submit(1, 0, 500)] + [take] * 52)[-2:] == [1, None]  # starved for fifty rounds
-
-
 def test_membership(spark):
     steps = ["active", "active", "joining", "draining", "unreachable", "joining", "active", "draining", "terminated", "joining"]
     df = spark.createDataFrame([("n", i, s) for i, s in enumerate(steps)], "node string, seq bigint, target string")
@@ -246,14 +229,6 @@ def test_stream_replication_is_idempotent(spark, tmp_path):
     assert sorted((r.key, r.epoch) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 5)]
 
 
-def test_two_queues_of_a_stream_equal_those_of_a_batch(spark, sf_dir):
-    from quillstone import plans
-
-    batch, stream = (plans.QUERIES[q](spark, sf_dir) for q in ("t1_two_queue_replay", "t1_two_queue_stream"))
-    key = lambda r: (r.node, r.seq, r.op, r.key, r.where, list(r.victims))
-    assert sorted(map(key, batch.collect())) == sorted(map(key, stream.collect()))
-
-
 def test_fold_of_a_stream_keeps_state_between_batches(spark, tmp_path):
     from quillstone.operators.fold import Fold
     from quillstone.streaming import feeds

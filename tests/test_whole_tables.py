@@ -1,4 +1,4 @@
-"""Queries read their tables whole: against plain Python, where the SQL reads less."""
+"""Queries read their tables whole: against plain Python."""
 
 from quillstone import plans
 
