@@ -3,46 +3,84 @@ import itertools
 import corpus_pipeline
 import numpy as np
 
+from quillstone.llm import nearcopy
+
 
 def shingles(text):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def kept_by_all_pairs(rows):
-    """Least ids of the groups, by all pairs of five-word shingle sets of similarity 0.8 or more."""
-    sets, root = [(k, shingles(t)) for k, t in sorted(rows)], {k: k for k, _ in rows}
+def near_pairs(rows):
+    """All pairs of ids whose five-word shingle sets have similarity 0.8 or more."""
+    sets = [(k, shingles(t)) for k, t in sorted(rows)]
+    return [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if 5 * len(x & y) >= 4 * len(x | y)]
+
+
+def groups_of(rows, pairs):
+    root = {k: k for k, _ in rows}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for (a, x), (b, y) in itertools.combinations(sets, 2):
-        if 5 * len(x & y) >= 4 * len(x | y):
-            p, q = find(a), find(b)
-            root[max(p, q)] = min(p, q)
-    return {find(k) for k in root}
+    for a, b in pairs:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    return {k: find(k) for k in root}
+
+
+def as_docs(spark, rows):
+    return spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def found_groups(spark, rows):
+    return {r.doc_id: r.component_id for r in nearcopy.near_copies(as_docs(spark, rows)).collect()}
 
 
-def kept(spark, rows, sf_dir):
-    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    return {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()}
+def recall(rows, found):
+    """Share of the near pairs that are in one found group; no found group may join what isn't linked."""
+    pairs = near_pairs(rows)
+    true = groups_of(rows, pairs)
+    assert all(true[k] == true[v] for k, v in found.items()) and set(found) == set(true)
+    return sum(found[a] == found[b] for a, b in pairs) / len(pairs)
 
 
-def test_stage_against_all_pairs(spark, sf_dir, documents):
+def test_stage_keeps_one_of_each_group(spark, sf_dir, documents):
     rows = [(r.doc_id, r.text or "") for r in documents.collect()]
-    assert kept(spark, rows, sf_dir) == kept_by_all_pairs(rows)
+    found = found_groups(spark, rows)
+    assert recall(rows, found) >= 0.9
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, as_docs(spark, rows), sf_dir).collect()} == set(found.values())
 
 
-def test_one_large_group(spark, sf_dir):
+def changed(rng, words, times, size=3000):
+    words = list(words)
+    for at in rng.integers(0, len(words), times):
+        words[at] = f"x{rng.integers(0, size)}"
+    return " ".join(words)
+
+
+def test_recall_of_lone_pairs(spark):
+    """Pairs of texts of all lengths, from equal to a similarity of 0.8, where no third text helps."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(400):
+        n = int(rng.integers(60, 900))
+        words = [f"w{x}" for x in rng.integers(0, 20000, n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, changed(rng, words, int(rng.integers(0, max(1, n // 42)))))]
+    assert recall(rows, found_groups(spark, rows)) >= 0.9
+
+
+def test_one_large_group(spark):
     """Near copies of one text, from few changes to many: chains, and pairs that only look alike."""
     rng = np.random.default_rng(3)
-    base, rows = [f"w{k}" for k in rng.integers(0, 3000, 150)], []
-    for k in range(300):
-        words = list(base)
-        for at in rng.integers(0, 150, int(rng.integers(0, 14))):
-            words[at] = f"x{rng.integers(0, 5000)}"
-        rows.append((k, " ".join(words)))
+    base = [f"w{k}" for k in rng.integers(0, 3000, 150)]
+    rows = [(k, changed(rng, base, int(rng.integers(0, 14)), 5000)) for k in range(300)]
     rows += [(1000, "one two three four five six"), (1001, "one two three four five six"), (1002, "one two three four five seven")]
-    assert kept(spark, rows, sf_dir) == kept_by_all_pairs(rows)
+    found = found_groups(spark, rows)
+    assert recall(rows, found) >= 0.99 and found[1001] == 1000 and found[1002] == 1002
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark, sf_dir):
+    rows = [(1, "one text of its own that nothing else here has"), (1, "a wholly different text under the same number as that"), (1, "one text of its own that nothing else here has")]
+    assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, as_docs(spark, rows), sf_dir).collect()) == sorted({t for _, t in rows})

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from quillstone.llm import secrets, simhash
+from quillstone.llm import nearcopy, secrets
 
 
 def test_stages(spark, sf_dir, tmp_path, documents):
@@ -13,7 +13,7 @@ def test_stages(spark, sf_dir, tmp_path, documents):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == corpus_pipeline.COLUMNS and docs.count() <= before.count()
     before, after = seen["near_dedup"]
-    groups = simhash.near_duplicates(before).select("component_id").distinct()
+    groups = nearcopy.near_copies(before).select("component_id").distinct()
     assert after.count() == groups.count() and after.join(groups, after.doc_id == groups.component_id, "left_anti").count() == 0
     before, after = seen["secret_scan"]
     assert after.count() == before.count()
