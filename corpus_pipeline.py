@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import langid, nearcopy, packing, quality, secrets
@@ -39,19 +39,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies, once.
+    """Keeps one document, that of smallest id, of each group of near copies.
 
-    Near copies have 0.8 or more of their five-word shingles in common (Jaccard). Rows without an id all stay.
+    Candidates come from SimHash segments and their one-wildcard variants; near copies have 0.8
+    or more of their five-word shingles in common (Jaccard). Different texts of one id are
+    documents of their own; of equal rows one stays.
     """
     small_batches(spark)
-    found = nearcopy.near_copies(docs.select("doc_id", "text"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # of rows that share an id one stays, told by its text's hash; the join's order serves the window
-    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_h"))
-    narrow = rows.select("doc_id", "_h").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("_h").alias("_h"))
-    one = Window.partitionBy("doc_id", "_h").orderBy("doc_id", "_h")
-    stay = rows.join(narrow, ["doc_id", "_h"]).withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(COLUMNS)
-    return stay.unionByName(docs.filter("doc_id IS NULL").select(COLUMNS))
+    return nearcopy.representatives(docs.select(COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
