@@ -1,10 +1,16 @@
 """Main text of web pages by the best-scoring contiguous region.
 
 A page is read as one sequence of words and tags. Words score positive and tags negative, by
-weights fitted on labelled pages; a linear scan finds the contiguous run of highest total. The
-run is widened to the innermost container that holds all of it, so that short first and last
-blocks are not cut off. The text is that of the region's blocks, without elements that never belong to an article's text
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments).
+weights fitted on labelled pages (``pagelabels``); a linear scan finds the contiguous run of
+highest total. Words within elements whose names speak against an article (tag, role, and whole
+class and id names, by their log odds on the labelled pages) lose that much, so that menus,
+sidebars or comments score negative: the run ends before them, or bridges them without taking
+them. Of the run, widened to the innermost container that holds all of it, the text is that of
+the words that score positive.
+
+Names never decide against the words: an element whose name is only like those of the labelled
+pages counts as part of the article if it holds more words than all that is left without it,
+and any element if almost nothing is left.
 """
 
 from __future__ import annotations
@@ -12,34 +18,31 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.bpe import each_text
+from quillstone.llm.pagelabels import MARK, labelled_pages
 
-# Names of HTML elements by their part in a page.
-RAW = frozenset("script style noscript template iframe svg math textarea title select object canvas".split())
-SIDE = frozenset("nav header footer aside form button dialog menu head label fieldset option".split())
+# Names of HTML elements by how they are read.
+RAW = frozenset("script style noscript template iframe textarea title select".split())
 HEAD = frozenset("head title base basefont bgsound link meta style script noscript noframes template".split())  # what may stand in a head
 MAIN = frozenset("article main".split())
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
-    " h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form"
+    " h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEAF = frozenset("p dt dd li h1 h2 h3 h4 h5 h6 option".split())  # often left open
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-SIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus"
-    " discussion footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion"
-    " related reply replies respond responses share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar"
-    " widget widgets login paywall pagination pager recommended alert disclaimer copyright topbar adsbygoogle adslot adbox adunit".split()
-)
-SIDE_NAMES = frozenset("header footer site-header site-footer page-header page-footer main-header main-footer top-header bottom-footer".split())
+HOLDERS = BLOCK - LEAF - {"html", "body"}  # what a region is widened to
+#: Elements whose text is never an article's, whatever the labelled pages have.
+CONTROLS = frozenset("head label fieldset option button legend".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -49,139 +52,175 @@ TOKEN = re.compile(
     re.S,
 )
 MARKS = re.compile(r"\b(class|id|role|hidden|aria-label)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
-PIECES = re.compile(r"[a-z]+")
+NAME_PARTS = re.compile(r"[A-Za-z]+")
 _ends = {name: re.compile(rf"</{name}\b[^>]*+>", re.I) for name in RAW}
 
 
-def is_side(name: str, attributes: str) -> bool:
-    """Whether an element never belongs to the article's text, by its name and marks."""
-    if name in SIDE:
-        return True
-    if name in ("html", "body") or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    for m in MARKS.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "role" and value in ROLES or key == "hidden":
-            return True
-        if key in ("class", "id") and any(w in SIDE_NAMES or p in SIDE_WORDS for w in value.split() for p in PIECES.findall(w)):
-            return True
-    return False
+def _features(name: str, attributes: str, within_main: bool) -> tuple[str, ...]:
+    """What an element's name and marks say of it: ``tag:``, ``role:``, ``hidden`` and, by class and id, ``name:``."""
+    found = [f"tag:{'inner-' if within_main and name == 'header' else ''}{name}"]
+    if "=" in attributes or "hidden" in attributes.lower():
+        for m in MARKS.finditer(attributes):
+            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if key == "hidden":
+                found.append("hidden")
+            elif key == "role":
+                found += [f"role:{v}" for v in value.split()]
+            elif key in ("class", "id"):
+                found += [f"name:{v}" for v in value.split()]
+    return tuple(found)
 
 
-def tokens(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[int, int]]]:
-    """Entries (feature, text, side), and the (start, end) of each container among them.
+@dataclass(slots=True)
+class Element:
+    """An element that can hold blocks, or has marks: its features, parent and (start, end) among the entries."""
+
+    name: str
+    features: tuple[str, ...]
+    parent: int
+    start: int
+    end: int = -1
+
+
+@dataclass(slots=True)
+class Page:
+    """Entries (kind, text, element) in page order, and the elements; the first stands for the page itself."""
+
+    entries: list[tuple[str, str, int]] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=lambda: [Element("", (), -1, 0)])
+
+
+def read(page: str) -> Page:
+    """Lexes a page; the words of a run are one entry, and each tag is one."""
+    out = Page()
+    entries, elements = out.entries, out.elements
+    stack = [0]
+    open_count: Counter = Counter()
+    link, at, n, mains = 0, 0, len(page), 0
+
+    def pop() -> Element:
+        e = elements[stack.pop()]
+        e.end = len(entries)
+        open_count[e.name] -= 1
+        return e
 
-    The words of a run are one entry, tags go by class; side: within an element of that kind.
-    """
-    out: list[tuple[str, str, bool]] = []
-    spans: list[tuple[int, int]] = []
-    stack: list[tuple[str, bool, int]] = []
-    side, link, at, mains = 0, 0, 0, 0
-    n = len(page)
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
         text = m["text"]
+        name = (m["name"] or "").lower()
         # </head> may be left out: the first words, or the first tag that can't stand in a head, end it
-        while stack and stack[-1][0] == "head" and (text.strip() if text is not None else m["name"] and not m["close"] and m["name"].lower() not in HEAD):
-            _, was, begun = stack.pop()
-            side -= was
-            spans.append((begun, len(out)))
+        while elements[stack[-1]].name == "head" and (text.strip() if text is not None else name and not m["close"] and name not in HEAD):
+            pop()
         if text is not None:
-            out.append(("link" if link else "word", text, side > 0))
+            entries.append(("link" if link else "word", text, stack[-1]))
             continue
-        if m["name"] is None:
+        if not name:
             continue
-        name = m["name"].lower()
         if name in RAW and not m["close"]:
             end = _ends[name].search(page, at)
             at = end.end() if end else n
-            out.append(("break", "", side > 0))
+            entries.append(("break", "", stack[-1]))
             continue
         if name == "a":
             link = 0 if m["close"] else 1
-        if name not in BLOCK and name not in SIDE:
-            out.append(("break" if name == "br" else "inline", "", side > 0))
-            continue
-        kind = "main" if name in MAIN else "leaf" if name in LEAF else "box"
+        block = name in BLOCK
+        kind = ("main" if name in MAIN else "leaf" if name in LEAF else "box") if block else "break" if name == "br" else "inline"
         if m["close"]:
-            within = side > 0
-            if any(x[0] == name for x in stack):
-                while True:
-                    top, was, begun = stack.pop()
-                    side -= was
-                    spans.append((begun, len(out) + 1))
-                    if top == name:
-                        break
-            out.append(("side" if within else f"/{kind}", "", within))
+            if open_count[name]:
+                while pop().name != name:
+                    pass
+            entries.append((f"/{kind}" if block else kind, "", stack[-1]))
             continue
         if name in VOID:  # a rule across the text holds nothing
-            out.append((kind, "", side > 0))
+            entries.append((kind, "", stack[-1]))
             continue
-        own = is_side(name, m["attributes"])
-        if name in MAIN and not own and not mains:
+        if block:  # open paragraphs, headings and inline marks end where a block starts, and an item at the next
+            while (top := elements[stack[-1]].name) and (top not in BLOCK or top in LEAF and top not in ("li", "dd", "dt", "option") or top == name and name in LEAF):
+                pop()
+        features = _features(name, m["attributes"], any(open_count[x] for x in MAIN))
+        if name in MAIN and len(features) == 1 and not mains:  # an element left open before the first article doesn't hold it
             mains += 1
-            if side:  # an element left open before the first article doesn't hide it
-                spans += [(begun, len(out)) for _, _, begun in stack]
-                stack, side = [], 0
-        if own and name == "header" and any(x[0] in MAIN for x in stack):
-            own = False  # the article's own title
-        if name not in LEAF or own:
-            stack.append((name, own, len(out)))
-            side += own
-        out.append(("side" if own else kind, "", side > 0))
-    spans += [(begun, len(out)) for name, _, begun in stack if name not in ("html", "body")]
-    return out, spans
-
-
-#: Labelled pages: (html, the article's text). They set the weights; all are made up here.
-LABELLED = [
-    (
-        "<html><head><title>T</title></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
-        "<article><h1>A quiet river</h1><p>The river runs past the old mill and turns south near the bridge where boats are kept.</p>"
-        "<p>In spring the water rises and the fields beside it stay wet until the end of May, so nobody sows early there.</p></article>"
-        "<footer>Copyright the paper</footer></body></html>",
-        "A quiet river The river runs past the old mill and turns south near the bridge where boats are kept."
-        " In spring the water rises and the fields beside it stay wet until the end of May, so nobody sows early there.",
-    ),
-    (
-        "<body><div class='menu'><a href='/1'>One</a><a href='/2'>Two</a><a href='/3'>Three</a></div><div id='content'><h2>Bread</h2>"
-        "<p>Mix the flour with water and leave it for an hour. Then add the salt and knead until the dough is smooth and soft.</p>"
-        "<ul><li>Bake it for forty minutes in a hot oven.</li><li>Let it cool on a rack before you cut it.</li></ul></div>"
-        "<div class='sidebar'><a href='/x'>More</a> <a href='/y'>Recipes</a></div><div><a href='/p'>Imprint</a> <a href='/q'>Contact</a></div></body>",
-        "Bread Mix the flour with water and leave it for an hour. Then add the salt and knead until the dough is smooth and soft."
-        " Bake it for forty minutes in a hot oven. Let it cool on a rack before you cut it.",
-    ),
-    (
-        "<body><div><span><a href='/'>Start</a></span><span><a href='/l'>List</a></span><span><a href='/m'>Map</a></span></div><main><p>The"
-        " council met on Monday to speak about the new school. Work on it will start in June, and the old house will be sold.</p><p>Most"
-        " people in the hall were for the plan, but some asked who will pay for the road.</p></main><form><input> Sign up</form></body>",
-        "The council met on Monday to speak about the new school. Work on it will start in June, and the old house will be sold."
-        " Most people in the hall were for the plan, but some asked who will pay for the road.",
-    ),
-]
-
-
-def fit(labelled: list[tuple[str, str]] = LABELLED) -> dict[str, float]:
-    """Weights by feature: log odds of lying in the article, positive for words and negative for tags."""
+            while len(stack) > 1 and elements[stack[-1]].name not in ("html", "body") and not _closes(page, at, elements[stack[-1]].name, name):
+                pop()
+        if block or len(features) > 1:
+            elements.append(Element(name, features, stack[-1], len(entries)))
+            stack.append(len(elements) - 1)
+            open_count[name] += 1
+        entries.append((kind, "", stack[-1]))
+    while len(stack) > 1:
+        pop()
+    elements[0].end = len(entries)
+    return out
+
+
+def _closes(page: str, at: int, name: str, inner: str) -> bool:
+    """Whether an element of this name ends after the next end of ``inner``."""
+    end = re.compile(rf"</{inner}\b", re.I).search(page, at)
+    return bool(end and re.compile(rf"</{name}\b", re.I).search(page, end.end()))
+
+
+@dataclass
+class Weights:
+    """Score of a word and of tags by kind, and what an element's names take from the words within."""
+
+    kinds: dict[str, float]
+    names: dict[str, float]
+    parts: dict[str, float]
+
+    def against(self, element: Element) -> tuple[float, bool]:
+        """Evidence that an element is no part of an article, and whether its names are known ones."""
+        if element.name in ("", "html", "body"):
+            return 0.0, True
+        if element.name in CONTROLS:
+            return 9.0, True
+        known = [self.names[f] for f in element.features if f in self.names]
+        strange = 0.0
+        for f in element.features:
+            if f not in self.names and f.startswith("name:"):
+                strange += max(-1.0, min(2.5, sum(self.parts.get(p, 0.0) for p in NAME_PARTS.findall(f[5:]))))
+        return sum(known) + strange, sum(known) > 1.0
+
+
+def fit(pages: list[str] | None = None) -> Weights:
+    """Log odds of kinds of entries, names and parts of names, from labelled pages."""
     inside, outside = Counter(), Counter()
-    for page, truth in labelled:
-        left = Counter(truth.split())
-        seq = [(f, t.split(), s) for f, t, s in tokens(page)[0]]
-        hits = [sum(min(left[w], c) for w, c in Counter(t).items()) if not s else 0 for f, t, s in seq]
-        runs = [i for i, (f, t, s) in enumerate(seq) if t and hits[i] * 2 > len(t)]
-        first, last = min(runs), max(runs)
-        for i, (f, t, s) in enumerate(seq):
-            (inside if first <= i <= last else outside)[f] += max(1, len(t))
-    weights = {}
-    for f in ("word", "link", "inline", "break", "leaf", "/leaf", "box", "/box", "main", "/main", "side"):
-        odds = math.log((inside[f] + 1) / (outside[f] + 1))
-        weights[f] = max(0.1, odds) if f == "word" else max(0.05, odds / 4) if f == "link" else min(-0.05, odds - 1)
-    weights["main"] = weights["/main"] = weights["side"] = min(weights.values())
-    return weights
+    names = (Counter(), Counter())
+    for page in pages or labelled_pages():
+        seen = read(page)
+        marks = [MARK in text for _, text, _ in seen.entries]
+        first, last = marks.index(True), len(marks) - 1 - marks[::-1].index(True)
+        for i, (kind, text, _) in enumerate(seen.entries):
+            own = marks[i] if text else first <= i <= last
+            (inside if own else outside)[kind] += max(1, len(text.split()))
+        for e in seen.elements[1:]:
+            holds = any(marks[e.start : e.end])
+            for f in set(e.features):
+                names[not holds][f] += 1
+    odds = lambda pair, x: math.log((pair[1][x] + 0.2) / (pair[0][x] + 0.2))
+    kinds = {}
+    for f in ("word", "link", "inline", "break", "leaf", "/leaf", "box", "/box", "main", "/main"):
+        o = math.log((inside[f] + 1) / (outside[f] + 1))
+        kinds[f] = min(1.5, max(0.5, o)) if f == "word" else max(0.05, o / 4) if f == "link" else min(-0.05, o - 1)
+    kinds["main"] = kinds["/main"] = min(kinds.values())
+    plain = [f"tag:{x}" for x in BLOCK - frozenset("nav header footer aside form dialog menu button".split())]
+    known = {f: odds(names, f) for f in {*names[0], *names[1]} if f not in plain}
+    return Weights(kinds, known, _part_weights({f[5:]: v for f, v in known.items() if f.startswith("name:")}))
 
 
-WEIGHTS = fit()
+def _part_weights(names: dict[str, float], rounds: int = 2000, decay: float = 0.02) -> dict[str, float]:
+    """What parts of names say, by logistic regression over the known names: in ``has-sidebar`` the first outweighs the second."""
+    split = [NAME_PARTS.findall(n) for n in names]
+    parts = sorted({p for x in split for p in x})
+    at = {p: k for k, p in enumerate(parts)}
+    x = np.zeros((len(split), len(parts)))
+    for i, some in enumerate(split):
+        x[i, [at[p] for p in some]] = 1.0
+    y = np.array([v > 0 for v in names.values()], float)
+    w = np.zeros(len(parts))
+    for _ in range(rounds):
+        w -= 4.0 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + decay * w / len(y))
+    return dict(zip(parts, w.tolist()))
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -196,20 +235,55 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def extract_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
+WEIGHTS = fit()
+#: Words that must be left where an element is taken out by its names alone.
+LEFT = 10
+
+
+def _losses(page: Page, weights: Weights) -> list[float]:
+    """What each element takes from the words within it, those of the elements around it included."""
+    n = len(page.elements)
+    own, known = zip(*(weights.against(e) for e in page.elements))
+    own = [max(0.0, x) for x in own]
+    words = [0] * n  # of each element, without those in elements within
+    for kind, text, e in page.entries:
+        if kind == "word":
+            words[e] += len(text.split())
+    for _ in range(n):
+        total, least = [0.0] * n, weights.kinds["word"]
+        for i, e in enumerate(page.elements):
+            total[i] = own[i] + (total[e.parent] if e.parent >= 0 else 0.0)
+        left = sum(w for w, t in zip(words, total) if t < least)
+        held, freed = [0] * n, [0] * n  # words of an element's outermost loss, and those that its own loss alone takes
+        top = [-1] * n
+        for i, e in enumerate(page.elements):
+            above = top[e.parent] if e.parent >= 0 else -1
+            top[i] = above if above >= 0 else i if own[i] >= least else -1
+            if top[i] >= 0:
+                held[top[i]] += words[i]
+                freed[top[i]] += words[i] * (total[i] - own[top[i]] < least)
+        lift = [i for i in range(n) if top[i] == i and freed[i] and page.elements[i].name not in CONTROLS]
+        lift = [i for i in lift if (left < LEFT and freed[i] > 2 * LEFT) or (not known[i] and freed[i] > left)]
+        if not lift:
+            return total
+        own[max(lift, key=lambda i: (freed[i], -i))] = 0.0
+    return total
+
+
+def extract_text(html: str | None, weights: Weights = WEIGHTS) -> str:
     """The article's blocks joined by two line feeds; empty if there is none."""
-    if not page:
+    if not html:
         return ""
-    seq, spans = tokens(page)
+    page = read(html)
+    loss = _losses(page, weights)
     scores = []
-    for f, t, s in seq:
-        if s:
-            scores.append(weights["side"] if f == "side" else 0.0)
-        else:
-            scores.append(weights[f] * len(t.split()) if t else weights[f])
+    for kind, text, e in page.entries:
+        each = weights.kinds[kind]
+        scores.append((each - loss[e]) * len(text.split()) if text else each)
     start, end = best_region(scores)
     if start < end:
-        start, end = min(((a, b) for a, b in spans if a <= start and end <= b), key=lambda x: x[1] - x[0], default=(start, end))
+        around = ((e.start, e.end) for e in page.elements if e.start <= start and end <= e.end and e.name in HOLDERS)
+        start, end = min(around, key=lambda x: x[1] - x[0], default=(start, end))
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -219,17 +293,17 @@ def extract_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
             blocks.append(text)
         parts.clear()
 
-    for f, t, s in seq[start:end]:
-        if s:
-            if f == "side":
+    taken = weights.kinds["word"]
+    for kind, text, e in page.entries[start:end]:
+        if kind not in ("word", "link", "inline", "break"):
+            close()
+        elif loss[e] >= taken:
+            if parts and page.elements[e].name in BLOCK:
                 close()
-            continue
-        if t:
-            parts.append(t)
-        elif f == "break":
+        elif text:
+            parts.append(text)
+        elif kind == "break":
             parts.append(" ")
-        elif f != "inline":
-            close()
     close()
     return "\n\n".join(blocks)
 
@@ -240,5 +314,11 @@ def _extracted(pages: pa.Array) -> pa.Array:
 
 
 def main_text(html: Column) -> Column:
-    """The main text of each whole page; null and empty pages give an empty string."""
+    """The main text of each whole page.
+
+    Null and empty pages, and those without words that score positive, give an empty string. Of
+    regions of equal score the first and shortest is taken. The result depends on the page
+    alone, so repeated rows have equal texts and an empty table gives none; time is in
+    proportion to the page's length but for the few rounds in which names are overruled.
+    """
     return _extracted(html)
