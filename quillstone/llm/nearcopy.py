@@ -8,16 +8,18 @@ that bit set, its one-wildcard variant. Every link is verified on the sets thems
 
 At similarity 0.8 a bit differs with a chance of 0.15, so one of 24 segments of 26 bits fits with
 a chance of 0.86; at 0.85 with 0.97, at 0.9 with 0.998. The README has the recall measured against
-all pairs. Candidates whose fingerprints differ in more than ``MOST_DIFFERENT`` of their bits, four
-standard deviations beyond what similarity 0.8 gives, are not compared further.
+all pairs. Candidates whose fingerprints differ in more than ``MOST_DIFFERENT`` of their bits, over
+two and a half standard deviations beyond what similarity 0.8 gives, are not compared further.
 
 Unlike classes meet by chance in a share of ``SEGMENTS * (BITS + 1) / 2 ** BITS`` of all pairs, so
 ``BITS`` should grow with the logarithm of the corpus.
 
-Segments that many classes share make no quadratic work: first each member of a bucket is
-compared with the bucket's most crowded class, its pivot; then only those that are not yet in
-one group are compared with one another, but for pairs that the sizes or the triangle inequality
-of the Jaccard distance to the pivot rule out. Both bounds are exact.
+Large groups are found by few comparisons: the pivot of a bucket is the class that meets most
+others. Each class is compared with the most crowded pivot that it meets; then with its other
+pivots, where it isn't in their group yet; then the members of a bucket that are still in
+different groups with one another, but for pairs that the sizes or the triangle inequality of the
+Jaccard distance to a common pivot rule out. Both bounds are exact, so what is left out is in one
+group already or can't link.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ SHINGLE = 5
 #: Similarity of four fifths, as whole numbers so that the comparison is exact.
 PART, WHOLE = 4, 5
 SEGMENTS, BITS = 24, 26
-MOST_DIFFERENT = 0.21
+MOST_DIFFERENT = 0.19
 
 _WORDS = -(-SEGMENTS * BITS // 64)
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, _WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,11 +114,16 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", both, F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b"))
 
 
+def _near_enough() -> Column:
+    """Whether the fingerprints keys_a and keys_b differ in few enough bits."""
+    apart = F.aggregate(F.zip_with("keys_a", "keys_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return apart <= int(MOST_DIFFERENT * SEGMENTS * BITS)
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose fingerprints are near enough to be looked at."""
     left, right = (classes.select(F.col("cls").alias(c), F.col("m.keys").alias(f"keys_{c}")) for c in "ab")
-    apart = F.aggregate(F.zip_with("keys_a", "keys_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return pairs.join(right, "b").join(left, "a").filter(apart <= int(MOST_DIFFERENT * SEGMENTS * BITS)).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").filter(_near_enough()).select("a", "b")
 
 
 def _similar() -> Column:
@@ -124,15 +131,16 @@ def _similar() -> Column:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, cls, exact, pivot): the segments at which classes meet; the pivot is one that has the exact value."""
+    """(key, cls, exact, pivot, crowd): the segments at which classes meet; the pivot is the most crowded that has the exact value."""
     exact = classes.select("cls", F.explode("m.keys").alias("key"))
     counts = exact.groupBy("key").agg(F.count("*").alias("n"))
     crowd = exact.join(counts.filter("n > 1"), "key").groupBy("cls").agg(F.sum("n").alias("crowd"))
     ranked = exact.join(crowd, "cls", "left").select("key", "cls", F.coalesce("crowd", F.lit(0).cast("bigint")).alias("crowd"))
-    pivots = cut_lineage(ranked.groupBy("key").agg(F.max(F.struct("crowd", "cls")).alias("p"), F.count("*").alias("n")).select("key", F.col("p.cls").alias("pivot"), "n"))
-    same = exact.join(pivots.filter("n > 1"), "key").select("key", "cls", F.lit(True).alias("exact"), "pivot")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("crowd", "cls")).alias("p"), F.count("*").alias("n"))
+    pivots = cut_lineage(pivots.select("key", F.col("p.cls").alias("pivot"), F.col("p.crowd").alias("crowd"), "n"))
+    same = exact.join(pivots.filter("n > 1"), "key").select("key", "cls", F.lit(True).alias("exact"), "pivot", "crowd")
     wild = classes.select("cls", F.explode(F.flatten(F.transform("m.keys", _variants))).alias("key"))
-    near = wild.join(pivots, "key").select("key", "cls", F.lit(False).alias("exact"), "pivot")
+    near = wild.join(pivots, "key").select("key", "cls", F.lit(False).alias("exact"), "pivot", "crowd")
     return cut_lineage(same.unionByName(near))
 
 
@@ -144,34 +152,43 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     classes = cut_lineage(table.groupBy("cls").agg(first, F.min(F.struct("row", "keys")).alias("m")))
     members = _buckets(classes)
 
-    tried = members.filter("cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    tried = cut_lineage(_plausible(tried, classes))
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), cheap to read again, with what they share, and whether that is enough."""
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         chosen = wanted.join(classes, "cls").select("cls", "m.row")
-        return cut_lineage(texts.join(chosen, "row").dropDuplicates(["cls"]).select("cls", _sets(F.col("text")).alias("set")))
-
-    tried = cut_lineage(_compared(tried, sets_of(tried)))
-    edges = tried.filter(_similar()).select("a", "b")
-
+        sets = cut_lineage(texts.join(chosen, "row").dropDuplicates(["cls"]).select("cls", _sets(F.col("text")).alias("set")))
+        return cut_lineage(_compared(pairs, sets).withColumn("similar", _similar()))
+
+    def with_roots(rows: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            rows = rows.join(roots.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+        return rows
+
+    # each class with the most crowded pivot that it meets
+    best = members.filter("cls != pivot").groupBy("cls").agg(F.max(F.struct("crowd", "pivot")).alias("p"))
+    first = linked(cut_lineage(_plausible(best.select(F.col("p.pivot").alias("a"), F.col("cls").alias("b")), classes)))
+    edges = first.filter("similar").select("a", "b")
+    roots = components(classes, edges)
+    # each class with the other pivots that it meets, where it isn't in their group yet
+    others = with_roots(members.filter("cls != pivot").select("cls", "pivot").distinct(), roots, "cls", "pivot").filter("root_cls != root_pivot")
+    second = linked(cut_lineage(_plausible(others.select(F.col("pivot").alias("a"), F.col("cls").alias("b")), classes)))
+    edges = edges.unionByName(second.filter("similar").select("a", "b"))
     roots = components(classes, edges)
+    # all members of a bucket that are still in different groups, but for the pivot
     far = 1 - F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))
-    seen = tried.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), far.alias("far"), F.col("size_b").alias("size"))
-    known = members.filter("cls != pivot").join(seen, ["pivot", "cls"], "left").join(roots.withColumnRenamed("fp", "cls"), "cls", "left")
-    known = cut_lineage(known.select("key", "cls", "exact", "far", "size", F.coalesce("root", "cls").alias("root")))
-    # buckets that are one group have nothing left to compare; the pivot was compared with everyone
+    seen = first.select(F.col("a").alias("near"), F.col("b").alias("cls"), far.alias("far"), F.col("size_b").alias("size"))
+    known = with_roots(members.filter("cls != pivot"), roots, "cls").join(seen, "cls", "left")
+    known = cut_lineage(known.select("key", "cls", "exact", "near", "far", "size", F.col("root_cls").alias("root")))
     mixed = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
-    rest = known.join(mixed, "key", "left_semi")
-    one, two = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "exact", "far", "size", "root"))) for s in "ab")
-    close = (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - PART / WHOLE + 1e-9) & (F.least("size_a", "size_b") * WHOLE >= F.greatest("size_a", "size_b") * PART)
+    rest = cut_lineage(known.join(mixed, "key", "left_semi").join(classes.select("cls", F.col("m.keys").alias("keys")), "cls"))
+    one, two = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "exact", "near", "far", "size", "root", "keys"))) for s in "ab")
+    near = (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - PART / WHOLE + 1e-9) & (F.least("size_a", "size_b") * WHOLE >= F.greatest("size_a", "size_b") * PART)
+    close = F.coalesce(near | (F.col("near_a") != F.col("near_b")), F.lit(True))
     meet = (one["key"] == two["key"]) & F.col("exact_a") & (~F.col("exact_b") | (F.col("cls_a") < F.col("cls_b"))) & (F.col("root_a") != F.col("root_b"))
-    # the bounds hold where both were compared with the pivot
-    close = close | F.col("far_a").isNull() | F.col("far_b").isNull()
-    pairs = one.join(two, meet & close).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
-    pairs = cut_lineage(_plausible(pairs, classes))
-    later = _compared(pairs, sets_of(pairs)).filter(_similar()).select("a", "b")
+    pairs = one.join(two, meet & close & _near_enough()).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+    later = linked(cut_lineage(pairs)).filter("similar").select("a", "b")
 
     roots = components(classes, edges.unionByName(later))
     rooted = classes.select("cls", "first").join(roots.withColumnRenamed("fp", "cls"), "cls", "left")
