@@ -5,14 +5,16 @@ documents and sentences. Dynamic programming takes the cuts of least cost: a win
 padding up to ``size``, or none if its length is a power of two, and a cut within a document
 costs ``cut_cost``; each window also costs ``window_cost``, so that short ones are the exception.
 The least over all previous cuts within ``size`` comes from a monotone queue, the power-of-two
-lengths from lookups. A sentence longer than ``size // 4`` ids has inner cut places, so that a
-way always exists. Streams are worked off in blocks; the last windows of a block are left open
-and decided with the next, which bounds memory without any bound on the stream.
+lengths from lookups. Every sentence end is a cut place; a sentence longer than ``size`` ids, and
+none else, has inner ones, so that a way always exists. Streams are worked off in blocks: of a
+block only the cuts are decided that every way further on shares, so the result is the optimum of
+the whole stream, and what stays open is short.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,12 @@ CUT_COST = 4.0
 INNER_COST = 32.0
 WINDOW_COST = 16.0
 BLOCK_CHARS = 1 << 20
-#: Of sentence ends within the same so many ids the last is a cut place.
-GRAIN = 16
+#: Windows that a stream holds at least before any is decided.
+OPEN = 8
 
 
-def best_cuts(places: np.ndarray, costs: np.ndarray, size: int = SIZE, window_cost: float = WINDOW_COST) -> list[int]:
-    """Indices of the chosen cuts, the last place included; ``places`` rise from over 0.
+def best_backs(places: np.ndarray, costs: np.ndarray, size: int = SIZE, window_cost: float = WINDOW_COST) -> list[int]:
+    """For 0 and each place the number of the cut before it on its cheapest way; ``places`` rise from over 0.
 
     The stream starts at 0. Neighbouring places must be at most ``size`` apart.
     """
@@ -64,17 +66,42 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, size: int = SIZE, window_co
             cuts_at.pop()
         keys.append(value)
         cuts_at.append(j)
-    cuts, j = [], n - 1
+    return back
+
+
+def best_cuts(places: np.ndarray, costs: np.ndarray, size: int = SIZE, window_cost: float = WINDOW_COST) -> list[int]:
+    """Indices of the cuts on the cheapest way to the last place, which is one of them."""
+    return _way(best_backs(places, costs, size, window_cost), len(places))
+
+
+def _way(back: list[int], j: int) -> list[int]:
+    cuts = []
     while j:
         cuts.append(j - 1)
         j = back[j]
     return cuts[::-1]
 
 
+def settled_cuts(places: np.ndarray, costs: np.ndarray, size: int = SIZE, window_cost: float = WINDOW_COST) -> list[int]:
+    """Indices of the cuts that stay whatever follows: those on the cheapest ways to all places within the last ``size``.
+
+    A way further on passes through one of these places, and they soon share their beginning.
+    """
+    back = best_backs(places, costs, size, window_cost)
+    ends = [-j for j in range(len(places), 0, -1) if places[j - 1] > places[-1] - size]
+    heapq.heapify(ends)
+    while True:
+        j = -heapq.heappop(ends)
+        while ends and -ends[0] == j:
+            heapq.heappop(ends)
+        if not ends:
+            return _way(back, j)
+        heapq.heappush(ends, -back[j])
+
+
 def _places(sizes: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, size: int, costs: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
     """Cut places after chunks and their costs; ``ends`` marks chunks that end a sentence."""
     place = np.cumsum(sizes)[ends]
-    place = place[np.diff(place // GRAIN, append=-1) != 0]
     cost = np.full(len(place), costs[0])
     place, cost = np.concatenate([place, doc_ends]), np.concatenate([cost, np.zeros(len(doc_ends))])
     order = np.lexsort((cost, place))
@@ -82,7 +109,7 @@ def _places(sizes: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, size: int
     keep = (np.diff(place, prepend=-1) > 0) & (place > 0)
     place, cost = place[keep], cost[keep]
     gap, step = np.diff(place, prepend=0), max(1, size // 64)
-    long = np.flatnonzero(gap > size // 4)
+    long = np.flatnonzero(gap > size)
     if len(long):
         inner = np.concatenate([np.arange(place[i] - gap[i] + step, place[i], step) for i in long])
         place, cost = np.concatenate([place, inner]), np.concatenate([cost, np.full(len(inner), costs[1])])
@@ -106,17 +133,16 @@ class Packer:
         self.ids = np.concatenate([self.ids, ids])
         self.chunks, self.ends = np.concatenate([self.chunks, chunks]), np.concatenate([self.ends, ends])
         self.docs = np.concatenate([self.docs, np.stack([rows, np.zeros_like(rows), each], axis=1)])
-        yield from self._windows(open_tail=4 * self.size)
+        if len(self.ids) > OPEN * self.size:
+            yield from self._windows(settled_cuts)
 
     def flush(self) -> Iterator[tuple]:
-        yield from self._windows(open_tail=0)
+        if len(self.ids):
+            yield from self._windows(best_cuts)
 
-    def _windows(self, open_tail: int) -> Iterator[tuple]:
-        if len(self.ids) <= open_tail:
-            return
+    def _windows(self, choose: Callable[..., list[int]]) -> Iterator[tuple]:
         place, cost = _places(self.chunks, self.ends, np.cumsum(self.docs[:, 2]), self.size, self.costs[:2])
-        cuts = place[best_cuts(place, cost, self.size, self.costs[2])]
-        cuts = cuts[cuts <= len(self.ids) - open_tail]
+        cuts = place[choose(place, cost, self.size, self.costs[2])]
         if not len(cuts):
             return
         starts = np.concatenate([[0], cuts[:-1]])
@@ -150,8 +176,8 @@ class Packer:
 _encoders: dict[str, ChunkIds] = {}
 
 
-#: Sentence ends, alone or before one closing mark.
-SENTENCE_END = "[.!?…。！？][\"')\\]}»”’]?$"
+#: Sentence ends, alone or before closing marks.
+SENTENCE_END = "[.!?…。！？][\"')\\]}»”’]*$"
 
 
 def ends_sentence(chunks: pa.Array) -> pa.Array:

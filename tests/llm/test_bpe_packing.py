@@ -134,6 +134,45 @@ def test_cuts_are_of_least_cost():
         assert ends[-1] == places[-1] and got == pytest.approx(best[-1])
 
 
+@pytest.mark.parametrize("block", [1, 7, 40])
+def test_blocks_do_not_matter_for_cost(block):
+    """A stream decided in blocks costs what the optimum of the whole stream does."""
+    rng = np.random.default_rng(8)
+    sizes = [rng.integers(3, 40, int(rng.integers(1, 60))) for _ in range(400)]
+
+    def cost(packer_blocks):
+        packer, pieces, row = packing.Packer(0, 256), [], 0
+        for part in packer_blocks:
+            each = np.array([int(s.sum()) for s in part])
+            chunks, ends = np.concatenate(part), np.ones(sum(map(len, part)), bool)
+            rows = np.arange(row, row + len(part))
+            pieces += packer.add(rows.tolist(), np.zeros(int(each.sum()), np.int32), each, chunks, ends, rows)
+            row += len(part)
+        pieces += packer.flush()
+        used = defaultdict(int)
+        for _, _, length, _, _, sequence, _ in pieces:
+            used[sequence] += length
+        padding = sum(0 if n & (n - 1) == 0 else 256 - n for n in used.values())
+        return padding + packing.WINDOW_COST * len(used) + packing.CUT_COST * (len(pieces) - len(sizes))
+
+    whole = cost([sizes])
+    assert cost([sizes[i : i + block] for i in range(0, len(sizes), block)]) == pytest.approx(whole)
+
+
+def test_only_overlong_sentences_have_inner_cuts():
+    size = 64
+    packer = packing.Packer(0, size)
+    each = np.array([200, 60, 50])  # one sentence each
+    pieces = list(packer.add([0, 1, 2], np.zeros(310, np.int32), each, each, np.ones(3, bool), np.arange(3))) + list(packer.flush())
+    assert all(n <= size for _, _, n, *_ in pieces)
+    assert [(k, s, n) for k, s, n, *_ in pieces if k] == [(1, 0, 60), (2, 0, 50)]
+
+
+def test_sentence_ends():
+    ends = packing.ends_sentence(pa.array(["a.", 'a.")', "a.)]'", "a", "(a)", "?!", "…»"])).to_pylist()
+    assert ends == [True, True, True, False, False, True, True]
+
+
 def test_pack_odd_rows(odd_docs, library):
     rows = packing.pack(odd_docs.filter("doc_id IS NOT NULL AND doc_id <> 7"), tokenizer_path(), END_ID).collect()
     texts = {r.doc_id: r.text for r in odd_docs.collect()}
