@@ -2,9 +2,10 @@
 
 Bytes are embedded and convolved by filters of several widths; each filter's largest response
 over a window is kept, and a softmax layer turns these into language probabilities. Training
-takes a bounded sample of labelled rows: about ``SAMPLE`` texts of each language, drawn by a
-hash of their id. A text is cut into windows of ``WINDOW`` bytes that cover all of it; its
-prediction comes from the mean of its windows' log probabilities, weighted by their length.
+takes a bounded sample of labelled rows: about ``SAMPLE`` different texts of each language, drawn
+by a hash of the text, and of each ``PIECES`` windows from anywhere in it. To predict, a text is
+cut into windows of ``WINDOW`` bytes that cover all of it; its prediction comes from the mean of
+its windows' log probabilities, weighted by their length.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled texts of each language that the network is fitted on, and bytes taken of each.
+from quillstone.session import cut_lineage
+
+#: Labelled texts of each language that the network is fitted on, and windows taken of each.
 SAMPLE = 1000
-SAMPLE_BYTES = 1024
-#: Languages beyond the most frequent so many are not learned.
-MOST_LANGUAGES = 200
+PIECES = 2
+#: A label column with more values than this holds no languages; training refuses it.
+MOST_LABELS = 10_000
 WINDOW = 512
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -124,35 +127,40 @@ def windows_of(text: bytes, size: int = WINDOW) -> np.ndarray:
     return out.reshape(count, size)
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> ByteCnn | None:
+def train(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPLE, pieces: int = PIECES) -> ByteCnn | None:
     """A network fitted on a bounded sample of ``labelled``; None where it has no usable row.
 
-    One pass counts the texts of each language; a second keeps those whose id's hash falls into
-    the share that gives about ``sample`` of each, so no language's rows meet in one task.
+    All rows are counted by language. Texts are drawn by the hash of the text, in the share that
+    gives about ``sample`` of each language, and equal draws are one; ``pieces`` windows of each,
+    at places drawn by the same hash, are learned. Null texts, texts without letters and rows
+    without a label are left out. Repeated rows change the shares only, ties of the hash and
+    very long texts nothing. Every label that occurs is learned; over ``MOST_LABELS`` raise.
     """
     usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
-    if not counts:
+    counts = cut_lineage(usable.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")))
+    languages = counts.count()
+    if not languages:
         return None
-    share = F.lit(0)
-    for lang, n in counts:
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1 << 30, sample * (1 << 30) // n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    head = F.substring(F.encode(F.col(text_col), "utf-8"), 1, SAMPLE_BYTES).alias("head")
-    picked = usable.filter(draw < share).select(head, F.col(lang_col).alias("lang"), draw.alias("draw"))
-    languages = sorted(lang for lang, _ in counts)
+    if languages > MOST_LABELS:
+        raise ValueError(f"{languages} labels; at most {MOST_LABELS} are taken for languages")
+    draw = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 30))
+    drawn = usable.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), draw.alias("draw"))
+    drawn = drawn.join(F.broadcast(counts), "lang").filter(F.col("draw") * F.col("n") < F.lit(sample * (1 << 30)))
+    raw = F.encode("text", "utf-8")
+    place = lambda k: F.pmod(F.xxhash64("draw", F.lit(k)), F.greatest(F.lit(1), F.length(raw) - WINDOW + 1)).cast("int")
+    cuts = F.array(*[F.substring(raw, place(k) + 1, F.lit(WINDOW)) for k in range(pieces)])
+    picked = drawn.select("lang", "draw", F.array_distinct(cuts).alias("cuts")).groupBy("lang", "draw").agg(F.min("cuts").alias("cuts"))
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r["draw"], r["head"], r["lang"]) for b in batches for r in b.to_pylist())
-        parts = [windows_of(r[1]) for r in rows]
-        labels = np.repeat([languages.index(r[2]) for r in rows], [len(p) for p in parts])
-        model = ByteCnn(languages)
-        model.fit(np.concatenate(parts), labels)
+        rows = sorted((r["draw"], r["lang"], bytes(cut)) for b in batches for r in b.to_pylist() for cut in r["cuts"])
+        known = sorted({lang for _, lang, _ in rows})
+        windows = np.concatenate([windows_of(cut) for *_, cut in rows])
+        model = ByteCnn(known)
+        model.fit(windows, np.array([known.index(lang) for _, lang, _ in rows]))
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
 
     # the sample is bounded, so one task takes it; a task has one numpy thread, the driver many
-    bounded = picked.limit(2 * sample * len(counts)).repartition(1)
-    return pickle.loads(bounded.mapInArrow(fitted, "model binary").first()["model"])
+    return pickle.loads(picked.repartition(1).mapInArrow(fitted, "model binary").first()["model"])
 
 
 #: Windows that are convolved at once, and texts that are cut into windows at once.
@@ -194,8 +202,10 @@ def _groups(todo: list[int], texts: list[str | None], most: int = 1 << 20):
 def predict(text: Column, model: ByteCnn | None) -> Column:
     """struct<lang, score> of the whole text; ``und`` and 0 for null texts and those without letters.
 
-    The network sees nothing but the text. Its size does not depend on the data beyond the
-    number of languages, so it travels with the function.
+    The network sees nothing but the text, so repeated rows have equal predictions; of languages
+    of equal score the first by name is taken. An empty table gives none, and without a model
+    all are ``und``. The network's size depends on the number of languages alone, so it travels
+    with the function.
     """
 
     @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))

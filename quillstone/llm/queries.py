@@ -31,7 +31,7 @@ BLOCKED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com"]
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = whole_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    judged = quality.judge(docs, write=True)
+    judged = quality.judge(docs, keep_text=False)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *[F.col(f"s.{c}").alias(c) for c in counts], "base_failed", "kept", "distance")
 
@@ -73,7 +73,7 @@ def held_out_fold(doc_id: Column) -> Column:
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = whole_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = held_out_fold(F.col("doc_id"))
-    model = langid.train(docs.filter(~fold), "doc_id", "text", "lang")
+    model = langid.train(docs.filter(~fold), "text", "lang")
     found = docs.select("doc_id", fold.alias("held_out"), langid.predict(F.col("text"), model).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
 
