@@ -13,28 +13,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions.binding import once
 from quillstone.llm import langid, nearcopy, packing, quality, secrets
 from quillstone.llm.queries import END_ID, tokenizer_path
 from quillstone.session import ensure_checkpoint_dir, read_table, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: A document whose best language is less likely than this is rejected.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A document is rejected whose best language stands out from chance by less than this share of the way to certainty.
+LEAST_ABOVE_CHANCE = 0.1
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or are outliers of their language and source."""
+    """Drops documents that fail the base rules or are outliers of their language and source; see ``quality.judge``."""
     small_batches(spark)
     return quality.judge(docs.select(COLUMNS)).filter("kept").select(COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a clear language; a missing ``lang`` is filled with the prediction."""
+    """Drops documents without a clear language; a missing ``lang`` is filled with the prediction.
+
+    With k languages chance alone scores 1/k, so the threshold lies above that. Where no row has
+    a language to learn from, every document stays. Null texts have none and go; null ids,
+    repeated rows and ties of the score are no matter.
+    """
     small_batches(spark)
-    model = langid.train(docs, "doc_id", "text", "lang")
-    seen = docs.select(*COLUMNS, langid.predict(F.col("text"), model).alias("p"))
-    clear = (F.col("p.lang") != langid.UNDETERMINED) & (F.col("p.score") >= LEAST_LANGUAGE_SCORE)
+    model = langid.train(docs, "text", "lang")
+    if model is None:
+        return docs.select(COLUMNS)
+    chance = 1 / len(model.languages)
+    seen = docs.select(*COLUMNS, once(langid.predict(F.col("text"), model)).alias("p"))
+    clear = (F.col("p.lang") != langid.UNDETERMINED) & (F.col("p.score") >= chance + LEAST_ABOVE_CHANCE * (1 - chance))
     return seen.filter(clear).select("doc_id", "text", F.coalesce("lang", "p.lang").alias("lang"), "source", "n_chars")
 
 
@@ -50,13 +59,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each secret by a mark; every document stays."""
+    """Replaces each secret by a mark; every document stays, those of null id or text and repeated rows too."""
     small_batches(spark)
     return docs.withColumn("text", secrets.redact(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences; the result has a row for each piece, with its ids."""
+    """Packs all documents into sequences; the result has a row for each piece, with its ids.
+
+    Documents of null id or text are packed like others, and repeated rows each.
+    """
     small_batches(spark)
     return packing.pack(docs, tokenizer_path(), END_ID)
 
