@@ -1,11 +1,18 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contextual patterns.
 
-The spans of the fixed patterns are the seeds. Every word with a digit or an at sign is a
-candidate identifier; its pattern is the two words before it and the shape of its own
-characters. Patterns and instances form a graph. In each round a pattern's confidence is the
-mean confidence of its different instances, and that of an instance which is no seed is one
-minus the chance that all its patterns err. Patterns of at least ``CONFIDENT`` confidence, with
-``SUPPORT`` different instances and ``SEEDS`` seeds among them, give their other instances as
+The spans of the fixed patterns are the seeds. A candidate is a word with a digit or an at sign,
+a run of such words without letters (``555 123 4567``), or a word after a label (``user: jdoe``);
+its instance is its text without the marks around it. Its lexical patterns are the two words
+before it, the two after it, and the label before it; what the candidate looks like is no part of
+them, so a pattern can find identifiers of any shape.
+
+Patterns and instances form a graph. In each round every pattern that has ``SEEDS`` different
+believed instances is induced, also from what earlier rounds found. Its confidence is the belief
+in its instances against all that fills its place: instances that nothing else speaks for count
+half, and different other words whole, so that a common turn of words is never trusted. The belief
+in an instance that is no seed is one minus the chance that all its trusted patterns err, without
+the pattern that it feeds back to. Rounds go on until no other patterns are trusted. The candidates
+in trusted patterns, and other places of the same instance where it has a digit or an at sign, are
 new spans, of kind ``found``. All of it is DataFrame functions.
 """
 
@@ -31,10 +38,21 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WORD = r"[^ \t-\r]++"
 BYTE = r"^0*+(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
-ROUNDS = 3
+SPACE = r"[ \t-\r]+"
+_NUMBERS = r"(?=[^\p{L}@ \t-\r]*[0-9])[^\p{L}@ \t-\r]++(?![^ \t-\r])"
+#: A run of numbers, another word with a digit or an at sign, or a word after a label.
+CANDIDATE = rf"(?<![^ \t-\r])(?:{_NUMBERS}(?: {_NUMBERS})*+|(?=[^ \t-\r0-9@]*[0-9@])[^ \t-\r]++|(?<=[:=#] )[^ \t-\r]++)"
+LABEL = "[:=#]$"
+
+MOST_ROUNDS = 6
 CONFIDENT = 0.8
-SUPPORT = 5
 SEEDS = 3
+#: What an instance that nothing else speaks for counts against a pattern.
+UNSURE = 0.5
+#: A found instance of so many characters, with a digit or an at sign, is marked wherever it is a candidate.
+LONG = 6
+#: Patterns and beliefs are broadcast up to so many rows, and joined by a shuffle beyond.
+BROADCAST_ROWS = 100_000
 
 
 def _running(values: Column, step: int = 256) -> Column:
@@ -110,57 +128,116 @@ def base_spans(text: Column) -> Column:
     return F.struct(*[F.when(may, matches(text, p, keep)).otherwise(none).alias(k) for k, (may, p, keep) in kinds.items()])
 
 
-def _shape(word: Column) -> Column:
-    """Letters and digits by run, and all else as it is."""
-    return F.regexp_replace(F.regexp_replace(F.lower(word), "[0-9]+", "0"), r"\p{L}+", "a")
+def _words(text: Column) -> Column:
+    """The words as patterns see them: in lower case, with 0 for every digit."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, "[0-9]", "0")), SPACE), lambda w: w != "")
+
+
+def _before(a: Column, b: Column) -> Column:
+    return F.xxhash64(F.lit("before"), a, b)
+
+
+def _after(a: Column, b: Column) -> Column:
+    return F.xxhash64(F.lit("after"), a, b)
+
+
+def _label(a: Column) -> Column:
+    return F.xxhash64(F.lit("label"), a)
 
 
 def candidates(text: Column, seeds: Column) -> Column:
-    """array<struct<start, end, pattern, instance, seed>> of words with a digit or an at sign."""
-
-    def pick(words: Column) -> Column:
-        def one(i: Column) -> Column:
-            word = F.get(words, i)["text"]
-            head = F.length(word) - F.length(F.regexp_replace(word, r"^[^\p{L}0-9+(]+", ""))
-            core = F.regexp_extract(word, r"[\p{L}0-9+(](?:.*[\p{L}0-9])?", 0)
-            before = lambda k: F.regexp_replace(F.lower(F.coalesce(F.get(words, i - k)["text"], F.lit("^"))), "[0-9]", "0")
-            pattern = F.concat_ws(" ", before(2), before(1), _shape(core))
-            start = F.get(words, i)["start"] + head
-            end = start + F.length(core)
-            seed = F.exists(seeds, lambda s: (s["start"] < end) & (start < s["end"]))
-            return F.struct(start.alias("start"), end.alias("end"), pattern.alias("pattern"), F.lower(core).alias("instance"), seed.alias("seed"))
-
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i)["text"].rlike("[0-9@]"))
-        return F.when(F.size(words) > 0, F.transform(places, one))
-
-    found = let(matches(text, WORD), pick)
-    none = F.array().cast("array<struct<start:int,end:int,pattern:string,instance:string,seed:boolean>>")
-    return F.when(text.rlike("[0-9@]"), F.coalesce(found, none)).otherwise(none)
-
-
-def confident_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns to trust; ``edges`` has each (pattern, instance) once, and whether it is a seed."""
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-    usable = cut_lineage(size.filter((F.col("n") >= SUPPORT) & (F.col("seeds") >= SEEDS)))
-    graph = cut_lineage(edges.join(usable.select("pattern"), "pattern"))
-    held = graph.withColumn("belief", F.col("seed").cast("double"))
-    for k in range(rounds):
-        score = held.groupBy("pattern").agg(F.avg("belief").alias("confidence"))
-        if k == rounds - 1:
-            return score.filter(F.col("confidence") >= CONFIDENT).select("pattern")
-        errs = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.99))))
-        belief = graph.join(score, "pattern").groupBy("instance").agg(F.max("seed").alias("known"), (1 - F.exp(errs)).alias("p"))
-        belief = belief.select("instance", F.when(F.col("known"), 1.0).otherwise(F.col("p")).alias("belief"))
-        held = cut_lineage(graph.join(belief, "instance"))
-    raise ValueError("rounds must be positive")
+    """array<struct<start, end, instance, seed, patterns>>; patterns are hashes."""
+
+    def pick(x: Column) -> Column:
+        step = F.zip_with(x["found"], F.slice(x["gaps"], 1, F.size(x["found"])), lambda m, g: F.length(g) + F.length(m))
+
+        def one(y: Column) -> Column:
+            def at(i: Column) -> Column:
+                word = F.get(y["found"], i)
+                left, right = F.get(y["around"], i), F.get(y["around"], i + 1)
+                n = F.size(left)
+                near = lambda k: F.get(left, n - k)
+                patterns = F.array(
+                    F.when(n >= 2, _before(near(2), near(1))),
+                    F.when(F.size(right) >= 2, _after(F.get(right, F.lit(0)), F.get(right, F.lit(1)))),
+                    F.when(near(1).rlike(LABEL), _label(near(1))),
+                )
+                head = F.length(word) - F.length(F.regexp_replace(word, r"^[^\p{L}0-9+(]+", ""))
+                core = F.regexp_extract(word, r"(?s)[\p{L}0-9+(](?:.*[\p{L}0-9])?", 0)
+                start = F.get(y["ends"], i) - F.length(word) + head
+                end = start + F.length(core)
+                seed = F.exists(seeds, lambda s: (s["start"] < end) & (start < s["end"]))
+                return F.struct(start.alias("start"), end.alias("end"), F.lower(core).alias("instance"), seed.alias("seed"), F.array_compact(patterns).alias("patterns"))
+
+            made = F.transform(F.sequence(F.lit(0), F.size(y["found"]) - 1), at)
+            return F.when(F.size(y["found"]) > 0, F.filter(made, lambda c: (c["instance"] != "") & (F.size(c["patterns"]) > 0)))
+
+        around = F.transform(x["gaps"], _words)
+        return let(F.struct(x["found"].alias("found"), around.alias("around"), _running(step).alias("ends")), one)
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(text, CANDIDATE, -1).alias("gaps"))
+    none = F.array().cast("array<struct<start:int,end:int,instance:string,seed:boolean,patterns:array<bigint>>>")
+    return F.when(text.rlike("[0-9@]|[:=#] "), F.coalesce(let(both, pick), none)).otherwise(none)
+
+
+def _beside(rows: DataFrame, few: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """rows joined to ``few``, which is broadcast while it is small; only then hot keys need no shuffle."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, key, how)
+
+
+def other_fillers(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, others): how many different words that are no candidates fill a pattern's place, over all texts."""
+
+    def places(w: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.array(
+                F.struct(_before(F.get(w, i - 2), F.get(w, i - 1)).alias("pattern"), F.get(w, i).alias("word")),
+                F.struct(_after(F.get(w, i + 1), F.get(w, i + 2)).alias("pattern"), F.get(w, i).alias("word")),
+            )
+
+        return F.when(F.size(w) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), at)))
+
+    rows = texts.select(F.explode(let(_words(F.col("text")), places)).alias("p")).select("p.pattern", "p.word")
+    found = _beside(rows.filter(~F.col("word").rlike("[0@]")), patterns.select("pattern"), "pattern", "left_semi")
+    return found.groupBy("pattern", "word").count().groupBy("pattern").agg(F.count("*").alias("others"))
+
+
+def trusted_patterns(edges: DataFrame, texts: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(pattern, confidence) of the patterns to trust.
+
+    ``edges`` has each (pattern, instance) once, and whether the instance is a seed; ``texts``
+    has text. Sums by pattern or instance are combined before they are shuffled.
+    """
+    schema = "pattern bigint, confidence double"
+    trusted = edges.sparkSession.createDataFrame([], schema)
+    counted = edges.sparkSession.createDataFrame([], "pattern bigint, others bigint")
+    for _ in range(most_rounds):
+        own = _beside(edges, trusted, "pattern").withColumn("own", F.when(F.col("confidence").isNull(), 0.0).otherwise(F.log1p(-F.least(F.col("confidence"), F.lit(0.99)))))
+        errs = own.filter("own < 0").groupBy("instance").agg(F.sum("own").alias("errs"))
+        belief = F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(F.coalesce("errs", F.lit(0.0)) - F.col("own")))
+        held = _beside(own.select("pattern", "instance", "seed", "own"), cut_lineage(errs), "instance").withColumn("belief", belief)
+        sums = held.groupBy("pattern").agg(F.sum("belief").alias("held"), F.count("*").alias("n"), F.count_if(F.col("belief") >= CONFIDENT).alias("support"))
+        usable = cut_lineage(sums.filter(F.col("support") >= SEEDS))
+        fresh = cut_lineage(usable.join(counted, "pattern", "left_anti").select("pattern"))
+        if not fresh.isEmpty():
+            more = fresh.join(other_fillers(texts, fresh), "pattern", "left").select("pattern", F.coalesce("others", F.lit(0).cast("bigint")).alias("others"))
+            counted = cut_lineage(counted.unionByName(more))
+        against = F.col("others") + UNSURE * (F.col("n") - F.col("held"))
+        scored = usable.join(counted, "pattern").select("pattern", (F.col("held") / (F.col("held") + against)).alias("confidence"))
+        before, trusted = trusted, cut_lineage(scored.filter(F.col("confidence") >= CONFIDENT))
+        changed = trusted.select("pattern").exceptAll(before.select("pattern")).unionByName(before.select("pattern").exceptAll(trusted.select("pattern")))
+        if changed.isEmpty():
+            break
+    return trusted
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, email, ip, card, phone and found for every row: array<struct<start, end>> by start.
 
-    Null and empty texts have none. Repeated ids keep their own spans; repeated rows are all
-    returned. An empty table gives none. Only the spans and candidates are written and
-    shuffled, never the texts.
+    Null and empty texts have none, and texts of any length are read whole. Repeated ids keep
+    their own spans; repeated rows are all returned, and count once for each pattern and
+    instance. A null id is returned. An empty table gives none. Only the spans and candidates
+    are written and shuffled, never the texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_row"), base_spans(text).alias("b"), text.alias("_text"))
@@ -168,10 +245,13 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bare = [F.transform(F.col(f"b.{k}"), lambda s: F.struct(s["start"], s["end"])).alias(k) for k in KINDS]
     table = cut_lineage(rows.select("_id", "_row", *bare, let(seeds, lambda s: candidates(F.col("_text"), s)).alias("c")))
     each = table.filter(F.size("c") > 0).select("_row", F.explode("c").alias("c")).select("_row", "c.*")
-    edges = each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    trusted = confident_patterns(edges)
-    new = each.filter(~F.col("seed")).join(trusted, "pattern", "left_semi")
-    new = new.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(FOUND))
+    edges = cut_lineage(each.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    trusted = trusted_patterns(edges, docs.select(text.alias("text")))
+    placed = _beside(each.filter(~F.col("seed")).withColumn("pattern", F.explode("patterns")), trusted.select("pattern"), "pattern", "left_semi").drop("pattern")
+    placed = cut_lineage(placed)
+    names = placed.filter(F.col("instance").rlike("[0-9@]") & (F.length("instance") >= LONG)).select("instance").distinct()
+    same = _beside(each.filter(~F.col("seed")), cut_lineage(names), "instance", "left_semi").select(*placed.columns)
+    new = placed.unionByName(same).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(FOUND))
     none = F.array().cast("array<struct<start:int,end:int>>")
     out = table.drop("c").join(new, "_row", "left")
     return out.select(F.col("_id").alias(id_col), *KINDS, F.coalesce(FOUND, none).alias(FOUND))
