@@ -15,22 +15,21 @@ def signed(x):
 
 
 def slow_fingerprint(text, gram=winnow.GRAM, window=winnow.WINDOW):
-    hashes = [signed(xxhash.xxh64_intdigest(w, 42)) for w in (text or "").encode().split()]
-    if not hashes:
+    words = [signed(xxhash.xxh64_intdigest(w, 42)) % winnow.MODULUS for w in (text or "").encode().split()]
+    if not words:
         return []
     grams = []
-    for i in range(max(1, len(hashes) - gram + 1)):
-        h = 42
-        for v in hashes[i : i + gram]:
-            h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
-        grams.append(h >> 24)
+    for i in range(max(1, len(words) - gram + 1)):
+        h = 0
+        for v in words[i : i + gram]:
+            h = (h * winnow.BASE + v) % winnow.MODULUS
+        grams.append(xxhash.xxh64_intdigest(struct.pack("<q", h), 42))
     out = []
     for i in range(max(1, len(grams) - window + 1)):
-        part = grams[i : i + window]
-        least = min(part)
-        entry = (i + max(k for k, g in enumerate(part) if g == least), least)
-        if out[-1:] != [entry]:
-            out.append(entry)
+        least = min(g >> 32 for g in grams[i : i + window])
+        at = max(k for k in range(i, min(len(grams), i + window)) if grams[k] >> 32 == least)
+        if out[-1:] != [(at, grams[at])]:
+            out.append((at, grams[at]))
     return out
 
 
@@ -64,9 +63,8 @@ def test_guarantee_and_ties(spark):
     same = "w " * 60
     df = spark.createDataFrame([(1, a), (2, b), (3, same)], "i int, t string").select("i", winnow.fingerprint(F.col("t")).alias("f"))
     got = {r.i: r.f for r in df.collect()}
-    assert {e >> 23 for e in got[1]} & {e >> 23 for e in got[2]}
-    places = [winnow.PLACES - 1 - e % winnow.PLACES for e in got[3]]
-    assert places == list(range(winnow.WINDOW - 1, 56))  # the rightmost of equal hashes
+    assert {e.hash for e in got[1]} & {e.hash for e in got[2]}
+    assert [e.place for e in got[3]] == list(range(winnow.WINDOW - 1, 56))  # the rightmost of equal hashes
 
 
 def test_null_id_comes_first(spark):
@@ -95,11 +93,33 @@ def test_winnow_odd_rows(odd_docs):
 @pytest.mark.parametrize("count", [1, 2, 37])
 def test_next_row_across_blocks(spark, count):
     df = spark.createDataFrame([(i * i * 7,) for i in range(count)], "k bigint")
-    got = {r.k: r.n for r in winnow.with_next(df, "k", "own", "n", F.col("k")).collect()}
+    got = {r.k: r.n for r in winnow.with_next(df, "k", "own", "n", F.col("k"), F.xxhash64("k"), F.lit(8)).collect()}
     keys = sorted(got)
     assert got == {k: keys[(i + 1) % count] for i, k in enumerate(keys)}
 
 
+@pytest.mark.parametrize("case", ["one id", "null ids", "mixed"])
+def test_rows_of_one_id_go_to_many_blocks(spark, case, monkeypatch):
+    """An id, or none, that most rows share is split into blocks by the texts' hashes."""
+    monkeypatch.setattr(winnow, "BLOCK_BYTES", 40)
+    ids = {"one id": [5] * 60, "null ids": [None] * 60, "mixed": [None] * 20 + [3] * 25 + [7] * 25 + list(range(30))}[case]
+    rows = [(k, f"text {n} of its own") for n, k in enumerate(ids)]
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    tie = {r.t: r.h for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
+    order = [t for k, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, tie[x[1]]))]
+    with_next = winnow.with_next(df, "k", "own", "n", F.col("t"), F.xxhash64("t"), F.octet_length("t"))
+    assert {r.own: r.n for r in with_next.collect()} == dict(zip(order, order[1:] + order[:1]))
+    marked = df.withColumn("_tie", F.xxhash64("t"))
+    assert marked.groupBy(winnow._blocks(marked, "k", F.col("_tie"), F.octet_length("t"))).count().agg(F.max("count")).first()[0] <= len(rows) // 4
+
+
+@pytest.mark.parametrize("count", [0, 1, 4, 5, 6, 63, 64, 65, 68, 69, 200, 1000])
+def test_rolling_hash_of_any_length(spark, count):
+    text = " ".join(f"w{k % 17}" for k in range(count))
+    got = spark.createDataFrame([(text,)], "t string").select(winnow.fingerprint(F.col("t")).alias("f")).first().f
+    assert [(e.place, e.hash % (1 << 64)) for e in got] == slow_fingerprint(text)
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
