@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.api import ENGINE_VERBS, EngineView, StateFrame
-from quillstone.operators import providers, security, stack, tiers
+from quillstone.operators import providers, requests as steps, security, stack, tiers
 from quillstone.plans import routing, security as rules, streams
 from quillstone.plans.registry import ORACLES, fold_sql, query
 from quillstone.session import ensure_checkpoint_dir, read_table
@@ -35,6 +35,49 @@ for _key, _engine in ENGINES.items():
     query(f"{_key}_{_engine}", ORACLES["e1_store_lookup_retrieve"])(_engine_query(_engine))
 
 
+_N = "len(string_split(text, ' '))"
+
+
+@query(
+    "e9_request_lifecycle",
+    f"""WITH m AS ({ORACLES["e1_store_lookup_retrieve"]}),
+    q AS (SELECT doc_id AS id, doc_id % 40 AS computed, CASE WHEN doc_id % 7 = 1 THEN 100 ELSE 1000000 END AS asked, {_N} AS n FROM documents WHERE doc_id % 2 = 1 AND doc_id % 11 <> 0),
+    l AS (SELECT id, sum(32 * n + layer)::BIGINT AS bytes, count(*) = 4 AS whole FROM q, unnest(range(4)) r(layer) WHERE NOT (id % 5 = 0 AND layer = 2) GROUP BY id)
+    SELECT q.id, greatest(m.matched_tokens - computed, 0)::BIGINT AS extra, (CASE WHEN m.matched_tokens > 0 AND asked >= 32 * m.matched_tokens THEN 32 * m.matched_tokens ELSE 0 END)::BIGINT AS load_bytes,
+           m.matched_tokens > 0 AND asked >= 32 * m.matched_tokens AS loaded, l.bytes AS saved_bytes, l.whole AS saved
+    FROM q JOIN m ON m.id = q.id JOIN l ON l.id = q.id""",
+)
+def e9_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = StateFrame(spark, f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4()}")
+    frame.store(streams._requests(spark, sf_dir, 0))
+    asked = streams._requests(spark, sf_dir, 1)
+    requests = asked.select("id", (F.col("id") % 40).alias("computed"), F.when(F.col("id") % 7 == 1, 100).otherwise(1_000_000).alias("asked_bytes"))
+    layers = asked.select("id", F.size("tokens").alias("tokens"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("layer"))
+    layers = layers.filter("NOT (id % 5 = 0 AND layer = 2)").select("id", "layer", (32 * F.col("tokens") + F.col("layer")).alias("bytes"), F.lit(0).alias("n"))
+    return steps.request_lifecycle(requests, frame.lookup(asked), layers, asked.filter("id % 11 = 0"), 4, 32)
+
+
+_STEP = "CASE event_id % 7 WHEN 0 THEN 'reserve' WHEN 1 THEN 'publish' WHEN 2 THEN 'publish' WHEN 3 THEN 'seal' WHEN 4 THEN 'fetch' WHEN 5 THEN 'fetch' ELSE 'release' END"
+_OWN = "OVER (PARTITION BY user_id, life ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "e11_context_protocol",
+    f"""WITH s AS (SELECT user_id, event_id, {_STEP} AS op, event_id % 50 AS watermark FROM events),
+    v AS (SELECT *, coalesce(count(*) FILTER (op = 'release') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM s),
+    a AS (SELECT *, count(*) FILTER (op = 'reserve') {_OWN} > 0 AS reserved FROM v),
+    b AS (SELECT *, count(*) FILTER (op = 'publish' AND reserved) {_OWN} > 0 AS written FROM a),
+    c AS (SELECT *, count(*) FILTER (op = 'seal' AND reserved AND written) {_OWN} > 0 AS sealed FROM b),
+    d AS (SELECT *, max(CASE WHEN op = 'publish' AND reserved AND NOT sealed THEN watermark END) {_OWN} AS mark FROM c)
+    SELECT user_id, event_id, op, watermark, CASE WHEN op = 'reserve' THEN CASE WHEN reserved THEN 'busy' ELSE 'ok' END
+           WHEN op = 'fetch' THEN CASE WHEN sealed THEN 'ok' ELSE 'not_found' END WHEN NOT reserved THEN 'unknown' WHEN op = 'release' THEN 'ok' WHEN sealed THEN 'sealed'
+           WHEN op = 'seal' THEN CASE WHEN written THEN 'ok' ELSE 'empty' END ELSE CASE WHEN watermark < mark THEN 'stale' ELSE 'ok' END END AS status FROM d""",
+)
+def e11_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read_table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_STEP).alias("op"), (F.col("event_id") % 50).alias("watermark"))
+    return steps.context_protocol(log, "user_id", "event_id")
+
+
 @query("s43_open_state", "SELECT 'missing' AS at, 0 AS writes UNION ALL SELECT 'stored', count(*) FROM documents WHERE doc_id % 2 = 0 AND len(string_split(text, ' ')) >= 16")
 def s43(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4()}"

@@ -244,3 +244,22 @@ def test_fold_of_a_stream_keeps_state_between_batches(spark, tmp_path):
     fold = Fold(["k"], ["i"], list, step, "k string, i int, n int")
     got = feeds.run_to_end(feeds.folded(feeds.events(spark, path, spark.read.parquet(path).schema, files_per_trigger=1), fold))
     assert sorted(r.n for r in got.collect()) == list(range(1, 31))
+
+
+def test_context_protocol(spark):
+    from quillstone.operators import requests
+
+    ops = [("fetch", 0), ("publish", 5), ("reserve", 0), ("reserve", 0), ("seal", 0), ("publish", 8), ("publish", 3), ("fetch", 0), ("seal", 0), ("publish", 9), ("seal", 0), ("fetch", 0), ("release", 0), ("fetch", 0), ("release", 0), ("reserve", 0), ("seal", 0)]
+    df = spark.createDataFrame([("h", i, *o) for i, o in enumerate(ops)], "handle string, seq int, op string, watermark int")
+    got = [r.status for r in requests.context_protocol(df, "handle", "seq").orderBy("seq").collect()]
+    assert got == ["not_found", "unknown", "ok", "busy", "empty", "ok", "stale", "not_found", "ok", "sealed", "sealed", "ok", "ok", "not_found", "unknown", "ok", "empty"]
+
+
+def test_request_lifecycle(spark):
+    from quillstone.operators import requests
+
+    asked = spark.createDataFrame([(1, 10, 9999), (2, 0, 5), (3, 0, 99), (4, 0, 99)], "id int, computed int, asked_bytes int")
+    matches = spark.createDataFrame([(1, 16), (2, 16), (3, 0), (4, 16)], "id int, matched_tokens int")
+    layers = spark.createDataFrame([(1, 0, 7, 0), (1, 0, 9, 1), (1, 1, 1, 0), (2, 0, 3, 0)], "id int, layer int, bytes int, n int")
+    rows = requests.request_lifecycle(asked, matches, layers, asked.filter("id = 4").select("id"), 2, 4).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 6, 64, True, 10, True), (2, 16, 0, False, 3, False), (3, 0, 0, False, 0, False)]
