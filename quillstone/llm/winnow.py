@@ -20,7 +20,7 @@ SPACE = "[ \\t-\\r]+"
 #: Base and modulus of the rolling hash: a prime, with base times modulus below 2**63.
 BASE, MODULUS = 1_000_003, (1 << 43) - 57
 #: Runs that are rolled from one start; longer texts have several starts, so that time stays in proportion.
-PIECE = 64
+PIECE = 32
 #: Order keys hold a position in 31 bits, more than a text can have, below 32 bits of the mixed hash.
 PLACES = 1 << 31
 
