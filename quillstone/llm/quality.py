@@ -198,6 +198,11 @@ def _distance() -> Column:
     return total
 
 
+def _few(groups: DataFrame) -> DataFrame:
+    """``groups``, a row for each group and small, in no more tasks than run at once: Python starts in each."""
+    return groups.coalesce(groups.sparkSession.sparkContext.defaultParallelism)
+
+
 def _with(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     few = estimates.count() <= BROADCAST_GROUPS
     return rows.join(F.broadcast(estimates) if few else estimates, "key")
@@ -226,7 +231,7 @@ def _quartiles(rows: DataFrame) -> DataFrame:
 
 def _first_estimates(rows: DataFrame) -> DataFrame:
     """(key, start, e): the robust starts of each group."""
-    quarters = cut_lineage(_quartiles(rows))
+    quarters = cut_lineage(_few(_quartiles(rows)))
     z = _with(rows, quarters).select("key", *[((F.col(f"x{i}") - F.col("middle")[i]) / F.col("scale")[i]).alias(f"z{i}") for i in range(P)])
     norm = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(1e-12)))
     z = z.select("key", *[F.tanh(f"z{i}").alias(f"t{i}") for i in range(P)], *[(F.col(f"z{i}") / norm).alias(f"u{i}") for i in range(P)])
@@ -234,7 +239,7 @@ def _first_estimates(rows: DataFrame) -> DataFrame:
     signs = [F.sum(F.col(f"u{i}") * F.col(f"u{j}")) for i, j in TRIANGLE]
     sums = z.groupBy("key").agg(*[x.alias(f"a{k}") for k, x in enumerate(tanh)], *[x.alias(f"b{k}") for k, x in enumerate(signs)])
     sums = sums.select("key", F.array(*[f"a{k}" for k in range(len(tanh))]).alias("t"), F.array(*[f"b{k}" for k in range(len(signs))]).alias("g"))
-    both = quarters.join(sums, "key").select("key", _starts("n", "middle", "scale", "t", "g").alias("s"))
+    both = _few(quarters.join(sums, "key")).select("key", _starts("n", "middle", "scale", "t", "g").alias("s"))
     return cut_lineage(both.select("key", F.posexplode("s").alias("start", "e")))
 
 
@@ -254,11 +259,11 @@ def concentrated(rows: DataFrame, now: DataFrame, cover: float = COVER) -> DataF
     )
     cuts = lists.withColumn("h", wanted).select("key", "start", "n", "h", F.aggregate("b", zero, step).alias("cut"))
     cuts = cuts.select("key", "start", "n", F.col("cut.bin").alias("cut"), ((F.col("h") - F.col("cut.before")) / F.col("cut.c")).alias("part"))
-    near = _with(rows, cut_lineage(now.join(cuts, ["key", "start"]))).withColumn("bin", fine).filter("bin <= cut")
+    near = _with(rows, cut_lineage(_few(now.join(cuts, ["key", "start"])))).withColumn("bin", fine).filter("bin <= cut")
     near = near.withColumn("w", F.when(F.col("bin") < F.col("cut"), 1.0).otherwise(F.col("part")))
     sums = [F.sum(F.col("w") * F.col(f"x{i}")) for i in range(P)] + [F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in TRIANGLE]
     made = near.groupBy("key", "start").agg(F.max("n").alias("n"), F.sum("w").alias("w"), *[x.alias(f"s{k}") for k, x in enumerate(sums)])
-    return cut_lineage(made.select("key", "start", _from_sums("n", "w", F.array(*[f"s{k}" for k in range(len(sums))])).alias("e")))
+    return cut_lineage(_few(made).select("key", "start", _from_sums("n", "w", F.array(*[f"s{k}" for k in range(len(sums))])).alias("e")))
 
 
 def estimates(vectors: DataFrame, cover: float = COVER, trials: int = TRIAL_STEPS, most: int = MOST_STEPS) -> DataFrame:
@@ -267,11 +272,11 @@ def estimates(vectors: DataFrame, cover: float = COVER, trials: int = TRIAL_STEP
     now = _first_estimates(rows)
     for _ in range(trials):
         now = concentrated(rows, now, cover)
-    now = cut_lineage(now.groupBy("key").agg(F.min_by("e", F.struct("e.logdet", "start")).alias("e")).select("key", F.lit(0).alias("start"), "e"))
+    now = cut_lineage(_few(now.groupBy("key").agg(F.min_by("e", F.struct("e.logdet", "start")).alias("e"))).select("key", F.lit(0).alias("start"), "e"))
     for _ in range(most):
         after = concentrated(rows, now, cover).select("key", F.col("e").alias("f"))
         falls = F.col("f.logdet") < F.col("e.logdet") - 1e-6
-        both = cut_lineage(now.join(after, "key").select("key", "start", F.when(falls, F.col("f")).otherwise(F.col("e")).alias("e"), falls.alias("falls")))
+        both = cut_lineage(_few(now.join(after, "key")).select("key", "start", F.when(falls, F.col("f")).otherwise(F.col("e")).alias("e"), falls.alias("falls")))
         now = both.drop("falls")
         if both.filter("falls").isEmpty():
             break
