@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillstone.operators.fold import Fold
 
 INFLATION = 1.5
+#: Arrival numbers of a range that is put in order by itself.
+RANGE = 1 << 16
 
 
 def inflated(limit: Column, inflate: Column) -> Column:
@@ -100,12 +102,20 @@ def capacity_used(moves: DataFrame, tenant: str, order: list[str], delta_col: st
 def round_robin(work: DataFrame, scope: list[str], class_col: str, tenant_col: str, seq_col: str) -> DataFrame:
     """``work`` with ``position``: by class, then in turns of tenants, who come in order of arrival.
 
-    This is the dispatch order where all work is there from the start and may be admitted.
+    This is the dispatch order where all work is there from the start and may be admitted. Scope,
+    class and the whole number ``seq_col``, unique, must not be null.
     """
     own = Window.partitionBy(*scope, class_col, tenant_col)
     rows = work.withColumn("_turn", F.row_number().over(own.orderBy(seq_col))).withColumn("_first", F.min(seq_col).over(own))
-    every = Window.partitionBy(*scope).orderBy(class_col, "_turn", "_first")
-    return rows.withColumn("position", F.row_number().over(every)).drop("_turn", "_first")
+    # few scopes may hold all work: only the sizes of ranges of arrival are put in order, and each range by itself
+    rows = rows.withColumn("_range", F.expr(f"_first div {RANGE}"))
+    cell = [*scope, class_col, "_turn", "_range"]
+    sizes = rows.groupBy(*cell).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*scope).orderBy(class_col, "_turn", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*cell).orderBy("_first"))
+    placed = rows.withColumn("_within", within).join(starts, cell)
+    return placed.withColumn("position", F.col("_start") + F.col("_within")).select(*work.columns, "position")
 
 
 def class_stats(work: DataFrame, class_col: str, tenant_col: str, bytes_col: str) -> DataFrame:

@@ -62,18 +62,19 @@ def replicate(feed: DataFrame, primary: DataFrame, path: str, max_tier: int = 1,
     state = f"{path}-cursor"
 
     def copy(batch: DataFrame, number: int) -> None:
-        try:
-            seen = spark.read.schema("stream string, epoch bigint, batch bigint").parquet(state).filter(F.col("batch") < number)
+        cursors = "stream string, epoch bigint"
+        try:  # each batch writes the cursors of all streams, so the last batch's are enough
+            seen = spark.read.schema(cursors).parquet(f"{state}/batch={number - 1}")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            seen = spark.createDataFrame([], "stream string, epoch bigint, batch bigint")
-        cursor = seen.groupBy("stream").agg(F.max("epoch").alias("cursor"))
-        warm = batch.filter(is_warm(F.col("type"), F.col("tier"), max_tier)).join(cursor, "stream", "left")
-        fresh = warm.filter(F.col("epoch") > F.coalesce("cursor", F.lit(0))).drop("cursor").dropDuplicates(["stream", "epoch"])
+            seen = spark.createDataFrame([], cursors)
+        warm = batch.filter(is_warm(F.col("type"), F.col("tier"), max_tier)).join(seen.withColumnRenamed("epoch", "cursor"), "stream", "left")
+        fresh = warm.filter(F.col("epoch") > F.coalesce("cursor", F.lit(0))).drop("cursor").dropDuplicates(["stream", "epoch"]).persist()
         fresh.join(primary, key).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        moved = fresh.groupBy("stream").agg(F.max("epoch").alias("epoch"))
+        moved = fresh.select("stream", "epoch").unionByName(seen).groupBy("stream").agg(F.max("epoch").alias("epoch"))
         moved.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        fresh.unpersist()
 
     query = feed.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(copy).start()
     return query.awaitTermination
