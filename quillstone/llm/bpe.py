@@ -301,7 +301,8 @@ def encode(text: Column, path: str) -> Column:
 
     Repeated texts give equal ids; special tokens' strings in a text become their ids, as the
     tokenizers library has it. Characters that no Unicode version up to 15.1 assigns may fall
-    into another class than in that library.
+    into another class than in that library. Texts of any length are encoded whole, about
+    ``STEP_CHARS`` of them at a time; an empty table gives none.
     """
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))

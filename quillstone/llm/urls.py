@@ -129,6 +129,9 @@ def judge(spark: SparkSession, url: Column, rules: list[tuple[str, str]], blocke
     ``rules`` are (string, "allow" or "block"); the longest that fits gives rule and verdict.
     Where none fits, rule is null and the verdict is "block" under one of ``blocked_hosts``,
     else "allow". Null urls and those without ``://`` have empty host and path and are allowed.
+    Urls of any length are read whole; the result depends on the url alone, so repeated rows have
+    equal ones, and an empty table gives none. Rules that fit are of different lengths or equal,
+    and of equal rules the last given counts.
     """
     ruled = publish(spark, [(r, v == "block") for r, v in rules])
     hosts = publish(spark, [(h, True) for h in blocked_hosts])
