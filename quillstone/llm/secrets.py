@@ -69,8 +69,10 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "authorization": 0.7,
     "api key": 1.0, "access key": 1.0, "private key": 1.0, "signing key": 0.9, "encryption key": 0.9, "auth key": 0.9,
 }
-#: A text without any of these has no sensitive name.
-SENSITIVE_HINT = re.compile("pass|pwd|secret|token|key|credential|bearer|auth", re.I)
+#: A text without any of these has no sensitive name, and no match of ASSIGN.
+HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
+
+
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|your[_-]?|dummy|redacted|xxxx|\*{3}|\$\{|\{\{|%\(|^(none|null|true|false)$", re.I)
 THRESHOLD = 0.6
 
@@ -313,10 +315,12 @@ def scan(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by start, then kind; offsets in code points."""
     if not text:
         return []
-    found = [("assign", *m.span(), 1.0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
+    low = text.lower()
+    hinted = any(x in low for x in HINTS)
+    found = [("assign", *m.span(), 1.0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST] if hinted else []
     found += [("access", *m.span(), 1.0) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span(), 1.0) for m in HEX.finditer(text)]
-    if SENSITIVE_HINT.search(text):
+    if hinted:
         found += [("literal", *x) for x in literals(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
