@@ -186,20 +186,28 @@ def _beside(rows: DataFrame, few: DataFrame, key: str, how: str = "left") -> Dat
 
 
 def other_fillers(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, others): how many different words that are no candidates fill a pattern's place, over all texts."""
+    """(pattern, others): how many different words that are no candidates fill a pattern's place, over all texts.
+
+    Up to ``BROADCAST_ROWS`` patterns go along as a set, so that only their places leave a text;
+    more are joined to all places.
+    """
+    few = patterns.select("pattern").limit(BROADCAST_ROWS + 1).collect()
+    wanted = [r["pattern"] for r in few] if len(few) <= BROADCAST_ROWS else None
 
     def places(w: Column) -> Column:
-        def at(i: Column) -> Column:
-            return F.array(
-                F.struct(_before(F.get(w, i - 2), F.get(w, i - 1)).alias("pattern"), F.get(w, i).alias("word")),
-                F.struct(_after(F.get(w, i + 1), F.get(w, i + 2)).alias("pattern"), F.get(w, i).alias("word")),
-            )
+        every = F.sequence(F.lit(0), F.size(w) - 1)
+
+        def filled(pattern: Callable[[Column], Column]) -> Column:
+            some = every if wanted is None else F.filter(every, lambda i: pattern(i).isin(wanted))
+            return F.transform(some, lambda i: F.struct(pattern(i).alias("pattern"), F.get(w, i).alias("word")))
 
-        return F.when(F.size(w) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), at)))
+        found = [filled(lambda i: _before(F.get(w, i - 2), F.get(w, i - 1))), filled(lambda i: _after(F.get(w, i + 1), F.get(w, i + 2)))]
+        return F.when(F.size(w) > 0, F.concat(*found))
 
-    rows = texts.select(F.explode(let(_words(F.col("text")), places)).alias("p")).select("p.pattern", "p.word")
-    found = _beside(rows.filter(~F.col("word").rlike("[0@]")), patterns.select("pattern"), "pattern", "left_semi")
-    return found.groupBy("pattern", "word").count().groupBy("pattern").agg(F.count("*").alias("others"))
+    rows = texts.select(F.explode(let(_words(F.col("text")), places)).alias("p")).select("p.pattern", "p.word").filter(~F.col("word").rlike("[0@]"))
+    if wanted is None:
+        rows = rows.join(patterns.select("pattern"), "pattern", "left_semi")
+    return rows.groupBy("pattern", "word").count().groupBy("pattern").agg(F.count("*").alias("others"))
 
 
 def trusted_patterns(edges: DataFrame, texts: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:

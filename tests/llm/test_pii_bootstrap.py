@@ -141,6 +141,14 @@ def test_one_place_with_most_rows(spark):
     assert len(got) == 400 and got == slow_found(texts)
 
 
+def test_many_patterns_are_joined_instead(spark, monkeypatch):
+    """Beyond the bound of what is broadcast or sent along the rows are the same."""
+    texts, _ = corpus(3)
+    want = found(spark, texts)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    assert want and found(spark, texts) == want == slow_found(texts)
+
+
 def test_no_python_in_the_plan(spark, documents):
     plan = pii.find_personal_data(documents)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
