@@ -40,6 +40,8 @@ SHINGLE = 5
 PART, WHOLE = 4, 5
 SEGMENTS, BITS = 24, 26
 MOST_DIFFERENT = 0.19
+#: Fingerprints or shingle sets of compared classes are broadcast up to so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 _WORDS = -(-SEGMENTS * BITS // 64)
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, _WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,20 +111,38 @@ def _variants(key: Column) -> Column:
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, size_a, size_b): how many shingles each pair shares and each side has."""
-    left, right = (sets.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    most = sets.agg(F.avg(F.size("set"))).first()[0] or 0
+    left, right = (_beside(sets.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}")), int(10 * most) + 64) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b")).alias("both")
     return pairs.join(right, "b").join(left, "a").select("a", "b", both, F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b"))
 
 
+def _beside(few: DataFrame, row_bytes: int) -> DataFrame:
+    """``few``, to be broadcast if its rows, of about ``row_bytes`` each, are within ``BROADCAST_BYTES``."""
+    return F.broadcast(few) if few.count() * row_bytes <= BROADCAST_BYTES else few
+
+
+def _first_meeting() -> Column:
+    """Whether ``key`` lies in the first segment in which the fingerprints keys_a and keys_b differ by one bit at most."""
+    close = F.zip_with("keys_a", "keys_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 1)
+    return F.array_position(close, True) == F.shiftright("key", BITS) + 1
+
+
 def _near_enough() -> Column:
     """Whether the fingerprints keys_a and keys_b differ in few enough bits."""
     apart = F.aggregate(F.zip_with("keys_a", "keys_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     return apart <= int(MOST_DIFFERENT * SEGMENTS * BITS)
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose fingerprints are near enough to be looked at."""
-    left, right = (classes.select(F.col("cls").alias(c), F.col("m.keys").alias(f"keys_{c}")) for c in "ab")
+    pairs = cut_lineage(pairs)
+    named = cut_lineage(classes.join(_members(pairs), "cls").select("cls", F.col("m.keys").alias("keys")))
+    left, right = (_beside(named.select(F.col("cls").alias(c), F.col("keys").alias(f"keys_{c}")), 16 * SEGMENTS) for c in "ab")
     return pairs.join(right, "b").join(left, "a").filter(_near_enough()).select("a", "b")
 
 
@@ -156,8 +176,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), cheap to read again, with what they share, and whether that is enough."""
-        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        chosen = wanted.join(classes, "cls").select("cls", "m.row")
+        chosen = _members(pairs).join(classes, "cls").select("cls", "m.row")
         sets = cut_lineage(texts.join(chosen, "row").dropDuplicates(["cls"]).select("cls", _sets(F.col("text")).alias("set")))
         return cut_lineage(_compared(pairs, sets).withColumn("similar", _similar()))
 
@@ -186,8 +205,10 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     one, two = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "exact", "near", "far", "size", "root", "keys"))) for s in "ab")
     near = (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - PART / WHOLE + 1e-9) & (F.least("size_a", "size_b") * WHOLE >= F.greatest("size_a", "size_b") * PART)
     close = F.coalesce(near | (F.col("near_a") != F.col("near_b")), F.lit(True))
-    meet = (one["key"] == two["key"]) & F.col("exact_a") & (~F.col("exact_b") | (F.col("cls_a") < F.col("cls_b"))) & (F.col("root_a") != F.col("root_b"))
-    pairs = one.join(two, meet & close & _near_enough()).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+    two = two.withColumnRenamed("key", "other")
+    meet = (F.col("key") == F.col("other")) & F.col("exact_a") & (~F.col("exact_b") | (F.col("cls_a") < F.col("cls_b"))) & (F.col("root_a") != F.col("root_b"))
+    # a pair is made once, in the first bucket where it can meet
+    pairs = one.join(two, meet & close & _near_enough() & _first_meeting()).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
     later = linked(cut_lineage(pairs)).filter("similar").select("a", "b")
 
     roots = components(classes, edges.unionByName(later))
