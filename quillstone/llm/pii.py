@@ -49,6 +49,8 @@ CONFIDENT = 0.8
 SEEDS = 3
 #: What an instance that nothing else speaks for counts against a pattern.
 UNSURE = 0.5
+#: Other fillers are counted in one of so many texts first, where that may rule a pattern out.
+SHARES = (256, 16, 1)
 #: A found instance of so many characters, with a digit or an at sign, is marked wherever it is a candidate.
 LONG = 6
 #: Patterns and beliefs are broadcast up to so many rows, and joined by a shuffle beyond.
@@ -210,15 +212,36 @@ def other_fillers(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return rows.groupBy("pattern", "word").count().groupBy("pattern").agg(F.count("*").alias("others"))
 
 
+def counted_fillers(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, others) of other_fillers() for ``patterns`` (pattern, n), exact wherever a pattern of n instances may be trusted.
+
+    Different fillers only get more with more texts. So patterns that some texts alone rule out,
+    whatever is believed of their instances, are not counted further, and only the others are
+    looked for in all texts.
+    """
+    done, left = None, patterns
+    for share in SHARES:
+        some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0) if share > 1 else texts
+        found = left.join(other_fillers(some, left), "pattern", "left").select("pattern", "n", F.coalesce("others", F.lit(0).cast("bigint")).alias("others"))
+        found = cut_lineage(found)
+        out = F.col("others") * CONFIDENT > F.col("n") * (1 - CONFIDENT)
+        over = found.filter(out if share > 1 else F.lit(True)).select("pattern", "others")
+        done = over if done is None else done.unionByName(over)
+        left = found.filter(~out).select("pattern", "n")
+        if left.isEmpty():
+            break
+    return done
+
+
 def trusted_patterns(edges: DataFrame, texts: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(pattern, confidence) of the patterns to trust.
 
     ``edges`` has each (pattern, instance) once, and whether the instance is a seed; ``texts``
     has text. Sums by pattern or instance are combined before they are shuffled.
     """
-    schema = "pattern bigint, confidence double"
-    trusted = edges.sparkSession.createDataFrame([], schema)
-    counted = edges.sparkSession.createDataFrame([], "pattern bigint, others bigint")
+    none = edges.filter(F.lit(False))
+    trusted = none.select("pattern", F.lit(0.0).alias("confidence"))
+    counted = none.select("pattern", F.lit(0).cast("bigint").alias("others"))
     for _ in range(most_rounds):
         own = _beside(edges, trusted, "pattern").withColumn("own", F.when(F.col("confidence").isNull(), 0.0).otherwise(F.log1p(-F.least(F.col("confidence"), F.lit(0.99)))))
         errs = own.filter("own < 0").groupBy("instance").agg(F.sum("own").alias("errs"))
@@ -226,10 +249,9 @@ def trusted_patterns(edges: DataFrame, texts: DataFrame, most_rounds: int = MOST
         held = _beside(own.select("pattern", "instance", "seed", "own"), cut_lineage(errs), "instance").withColumn("belief", belief)
         sums = held.groupBy("pattern").agg(F.sum("belief").alias("held"), F.count("*").alias("n"), F.count_if(F.col("belief") >= CONFIDENT).alias("support"))
         usable = cut_lineage(sums.filter(F.col("support") >= SEEDS))
-        fresh = cut_lineage(usable.join(counted, "pattern", "left_anti").select("pattern"))
+        fresh = cut_lineage(usable.join(counted, "pattern", "left_anti").select("pattern", "n"))
         if not fresh.isEmpty():
-            more = fresh.join(other_fillers(texts, fresh), "pattern", "left").select("pattern", F.coalesce("others", F.lit(0).cast("bigint")).alias("others"))
-            counted = cut_lineage(counted.unionByName(more))
+            counted = cut_lineage(counted.unionByName(counted_fillers(texts, fresh)))
         against = F.col("others") + UNSURE * (F.col("n") - F.col("held"))
         scored = usable.join(counted, "pattern").select("pattern", (F.col("held") / (F.col("held") + against)).alias("confidence"))
         before, trusted = trusted, cut_lineage(scored.filter(F.col("confidence") >= CONFIDENT))
